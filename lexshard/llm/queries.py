@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexshard.llm import elite, frequency
+from lexshard.llm import elite, frequency, neardup
 
-_MODULES = (frequency, elite)
+_MODULES = (frequency, elite, neardup)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 SQL = {k: q for m in _MODULES for k, q in m.SQL.items()}
