@@ -41,8 +41,15 @@ def fold_tables() -> tuple[str, str, str, dict[str, str]]:
     return "".join(source), "".join(image), "".join(gone), longer
 
 
-def _escaped(chars) -> str:
-    return "".join(f"\\x{{{ord(c):x}}}" for c in chars)
+def _ranges(chars) -> str:
+    """A character class that holds chars, and a few between them: a long one of single characters is slow to test."""
+    out: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if out and c - out[-1][1] <= 4:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
 
 
 def fold_accents(col: Column) -> Column:
@@ -53,7 +60,7 @@ def fold_accents(col: Column) -> Column:
     images = F.map_from_arrays(F.split(F.lit(keys), _SEP), F.split(F.lit(values), _SEP))
     chars = F.regexp_extract_all(plain, F.lit("(?s)."), F.lit(0))
     unfolded = F.array_join(F.transform(chars, lambda c: F.coalesce(F.element_at(images, c), c)), "")
-    many = F.when(plain.rlike(f"[{_escaped(longer)}]"), unfolded).otherwise(plain)
+    many = F.when(plain.rlike(_ranges(longer)), unfolded).otherwise(plain)
     return F.when(col.rlike("[^\\x00-\\x7F]"), many).otherwise(col)
 
 
