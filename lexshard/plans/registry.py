@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexshard.plans import heavy_keys
+from lexshard.plans import heavy_keys, search
 
-QUERIES = {**heavy_keys.QUERIES}
-SQL = {**heavy_keys.SQL}
+QUERIES = {**search.QUERIES, **heavy_keys.QUERIES}
+SQL = {**search.SQL, **heavy_keys.SQL}
