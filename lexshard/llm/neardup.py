@@ -19,6 +19,7 @@ class pairs and membership.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,11 @@ from lexshard.session import settled, spread, table
 BUCKETS = 1 << 20
 #: Pages of a shard that are searched against each other in one task.
 BLOCK = 1000
-_SHARDS = "token long, i int, j int, side int, n int, id long, sketch binary"
+_SHARDS = "token long, i int, j int, side int, n int, left int, id long, sketch binary"
+#: Sizes of word sets in steps of 10/7: a similar smaller set is of the same step or the one before.
+STEPS = [1]
+while STEPS[-1] < 1 << 40:
+    STEPS.append(-(-STEPS[-1] * 10 // 7))
 
 
 def page_sets(wiki: DataFrame) -> DataFrame:
@@ -115,52 +120,66 @@ class Tree:
     def __init__(self) -> None:
         self.root = None
 
-    def add(self, key: int, n: int, ident: int) -> None:
+    def add(self, key: int, page: tuple) -> None:
         if self.root is None:
-            self.root = (key, [(n, ident)], {})
+            self.root = (key, [page], {})
             return
         node = self.root
         while True:
             d = (node[0] ^ key).bit_count()
             if d == 0:
-                node[1].append((n, ident))
+                node[1].append(page)
                 return
             if (child := node[2].get(d)) is None:
-                node[2][d] = (key, [(n, ident)], {})
+                node[2][d] = (key, [page], {})
                 return
             node = child
 
-    def near(self, key: int, n: int, radius: int) -> Iterator[int]:
+    def near(self, key: int, n: int, left: int, radius: int) -> list[int]:
         """The pages within the radius of their own size and n; radius holds for all pages of the tree."""
-        stack = [self.root] if self.root else []
+        stack, found = [self.root], []
         while stack:
             at, pages, children = stack.pop()
             d = (at ^ key).bit_count()
             if d <= radius:
-                for m, ident in pages:
-                    if 17 * d <= 3 * (n + m):
-                        yield ident
+                for m, rest, ident in pages:
+                    if 17 * d <= 3 * (n + m) and 17 * min(left, rest) >= 7 * (n + m):
+                        found.append(ident)
             if children:
                 low, high = d - radius, d + radius
-                stack.extend(c for e, c in children.items() if low <= e <= high)
+                for e, child in children.items():
+                    if low <= e <= high:
+                        stack.append(child)
+        return found
 
 
-def block_pairs(rows: list[tuple[int, int, int, bytes]], within: bool) -> Iterator[tuple[int, int]]:
-    """Candidate pairs of one block (within) or between its two sides; rows (side, n, id, sketch) by rising n.
+def block_pairs(rows: list[tuple[int, int, int, int, bytes]], within: bool) -> Iterator[tuple[int, int]]:
+    """Candidate pairs of one block (within) or between its two sides; rows (side, n, left, id, sketch) by rising n.
 
-    Each page searches the trees of the pages before it, which are no larger, and then joins its tree. Widths differ
-    by size; a similar smaller page has the same width or half of it, and a sketch folds to half its width.
+    left counts the words of a page from the shard's word on, in the order of rarity. If the shard's word is the first
+    that two pages share, they share at most left of either; they must share 7/17 of their sizes together. So a page
+    needs to be in a tree only if left is 14/17 of its size: the page that searches is no smaller.
+
+    Each page searches the trees of the pages before it and then joins its own. There is a tree for each width and
+    step of size; a similar smaller page has the same width or half of it, and a sketch folds to half its width.
     """
-    trees: dict[tuple[int, int], Tree] = {}
-    for side, n, ident, packed in rows:
+    trees: dict[tuple[int, int, int], Tree] = {}
+    for side, n, left, ident, packed in rows:
         width, key = 8 * len(packed), int.from_bytes(packed, "little")
-        half = (key >> (width // 2)) ^ (key & ((1 << (width // 2)) - 1))
-        for other in (side,) if within else (1 - side,):
-            for w, k in ((width, key), (width // 2, half)):
-                if tree := trees.get((other, w)):
-                    for found in tree.near(k, n, 6 * n // 17):
-                        yield (found, ident) if found < ident else (ident, found)
-        trees.setdefault((side, width), Tree()).add(key, n, ident)
+        step = bisect_right(STEPS, n)
+        if trees:
+            half = (key >> (width // 2)) ^ (key & ((1 << (width // 2)) - 1))
+            for low in range(bisect_right(STEPS, -(-7 * n // 10)), step + 1):
+                radius = 3 * (n + min(n, STEPS[low] - 1)) // 17
+                for w, k in ((width, key), (width // 2, half)):
+                    if tree := trees.get((side if within else 1 - side, w, low)):
+                        for found in tree.near(k, n, left, radius):
+                            yield (found, ident) if found < ident else (ident, found)
+        if 17 * left >= 14 * n:
+            at = (side, width, step)
+            if at not in trees:
+                trees[at] = Tree()
+            trees[at].add(key, (n, left, ident))
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +193,12 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate([[0], cut])
         ends = np.concatenate([cut, [len(token)]])
         done = len(token) if last else int(starts[-1])
-        side, n, ident, packed = t.column("side").to_numpy(), t.column("n").to_numpy(), t.column("id").to_numpy(), t.column("sketch")
+        side, n, left, ident = (t.column(c).to_numpy() for c in ("side", "n", "left", "id"))
+        packed = t.column("sketch")
         found: set[tuple[int, int]] = set()
         for s, e in zip(starts, ends):
             if e - s > 1 and e <= done:
-                rows = list(zip(side[s:e].tolist(), n[s:e].tolist(), ident[s:e].tolist(), packed.slice(s, e - s).to_pylist()))
+                rows = list(zip(side[s:e].tolist(), n[s:e].tolist(), left[s:e].tolist(), ident[s:e].tolist(), packed.slice(s, e - s).to_pylist()))
                 found.update(block_pairs(rows, i[s] == j[s]))
         return found, t.slice(done)
 
@@ -205,24 +225,25 @@ def class_pairs(sets: DataFrame) -> DataFrame:
     sizes = spark.sparkContext.broadcast(_count(sets, lambda w: prefix(w, order.value)))
 
     def shards(batches):
-        names = ["token", "i", "j", "side", "n", "id", "sketch"]
+        names = ["token", "i", "j", "side", "n", "left", "id", "sketch"]
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             packed = []
             for ident, words in _sets(batch):
                 head = prefix(words, order.value)
                 size = sizes.value[_bucket(head)]
+                left = (len(words) - np.arange(len(head)))[size > 1]
                 head, size = head[size > 1], size[size > 1]
                 blocks = -(-size // BLOCK)
                 own = (int(ident) * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF) % blocks.astype(np.int64) if len(head) else head
                 at = np.repeat(np.arange(len(head)), blocks)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 mine = own[at]
-                for c, x in zip(cols, (head[at], np.minimum(mine, other), np.maximum(mine, other), (mine > other).astype(np.int32), np.full(len(at), len(words)), np.full(len(at), ident))):
+                for c, x in zip(cols, (head[at], np.minimum(mine, other), np.maximum(mine, other), (mine > other).astype(np.int32), np.full(len(at), len(words)), left[at], np.full(len(at), ident))):
                     c.append(x)
                 packed.extend([sketch(words)] * len(at) if len(at) else [])
             if packed:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds)] + [pa.array(packed, pa.binary())], names)
 
     blocks = sets.mapInArrow(shards, _SHARDS).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "id")
