@@ -184,14 +184,18 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> tuple[np.ndarr
     return w[:-1], float(w[-1])
 
 
-def page_words(wiki: DataFrame) -> DataFrame:
-    """(id, seen, words): every delivery of a page; ids that aren't numbers are dropped, null texts have no words."""
-    rows = wiki.select(F.expr("try_cast(id AS bigint)").alias("id"), F.col("fetched_at").alias("seen"), "text").where(F.col("id").isNotNull())
-    return spread(rows).select("id", "seen", tokens(F.col("text")).alias("words"))
+def deliveries(wiki: DataFrame) -> DataFrame:
+    """(id, seen, text): every delivery of a page; ids that aren't numbers are dropped."""
+    return spread(wiki.select(F.expr("try_cast(id AS bigint)").alias("id"), F.col("fetched_at").alias("seen"), "text").where(F.col("id").isNotNull()))
+
+
+def page_words(pages: DataFrame) -> DataFrame:
+    """(id, seen, words); null texts have no words."""
+    return pages.select("id", "seen", tokens(F.col("text")).alias("words"))
 
 
 def trained(pages: DataFrame) -> Classifier:
-    """Fitted on the TRAIN_ROWS pages with at least one run whose ids have the smallest hashes."""
+    """Fitted on TRAIN_ROWS deliveries, those whose ids have the smallest hashes, as far as they have a run."""
 
     def label(batches):
         for batch in batches:
@@ -200,9 +204,8 @@ def trained(pages: DataFrame) -> Classifier:
             rows = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), BAG + SHARES).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([pa.array((repeated * SHARE >= runs).astype(np.int32)), rows], ["y", "x"])
 
-    order = F.xxhash64("id")
-    sample = pages.where(F.size("words") >= RUN).orderBy(order, "id", "seen").limit(TRAIN_ROWS)
-    got = sample.mapInArrow(label, "y int, x array<float>").toArrow().combine_chunks()
+    sample = pages.where(F.col("text").isNotNull()).orderBy(F.xxhash64("id"), "id", "seen", "text").limit(TRAIN_ROWS)
+    got = page_words(sample).where(F.size("words") >= RUN).mapInArrow(label, "y int, x array<float>").toArrow().combine_chunks()
     x = got.column("x").combine_chunks()
     flat = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, BAG + SHARES) if got.num_rows else np.empty((0, BAG + SHARES))
     return Classifier.fit(flat.astype(np.float64), got.column("y").to_numpy().astype(np.float64))
@@ -213,7 +216,7 @@ def measured(wiki: DataFrame) -> DataFrame:
 
     A page with fewer than RUN words has no runs; an empty table gives no rows.
     """
-    pages = page_words(wiki)
+    pages = deliveries(wiki)
     shared = pages.sparkSession.sparkContext.broadcast(trained(pages))
 
     def run(batches):
@@ -227,7 +230,7 @@ def measured(wiki: DataFrame) -> DataFrame:
                 cols = [part.column("id"), part.column("seen"), pa.array(runs), pa.array(repeated), pa.array(model.probability(score)), pa.array(score >= model.least)]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "seen", "runs", "repeated", "probability", "candidate"])
 
-    rows = pages.mapInArrow(run, "id long, seen timestamp, runs long, repeated long, probability double, candidate boolean")
+    rows = page_words(pages).mapInArrow(run, "id long, seen timestamp, runs long, repeated long, probability double, candidate boolean")
     last = F.max(F.struct("seen", "runs", "repeated", "probability", "candidate")).alias("x")
     return rows.groupBy("id").agg(last).select("id", "x.runs", "x.repeated", "x.probability", "x.candidate")
 
