@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from lexshard.operators.boolean import boolean_search
-from lexshard.operators.index import Index, build_index, open_index
+from lexshard.operators.index import Index, build_saved, open_index
 from lexshard.operators.phrase import phrase_search
 from lexshard.operators.rank import BM25, TfIdf, ranked_search
 from lexshard.sources.corpus import load_jsonl, synthetic_corpus
@@ -27,8 +27,7 @@ def build(args: argparse.Namespace) -> list[str]:
         docs = load_jsonl(spark, args.wiki, args.limit)
     else:
         docs = synthetic_corpus(spark, args.synthetic or DEFAULT_SYNTHETIC).drop("topic")
-    build_index(docs).save(args.out)
-    meta = open_index(spark, args.out).meta
+    meta = build_saved(docs, args.out).meta
     return ["Done. Index meta:", *(f"  {k}: {v}" for k, v in sorted(meta.items()))]
 
 

@@ -110,11 +110,22 @@ def position_bytes(positions: Column) -> Column:
 
 
 def encoded_postings_bytes(postings: DataFrame) -> DataFrame:
-    """One number: bytes of all terms' lists, each coded as df, then (doc gap, tf, number of positions, position gaps) per posting."""
+    """One number: bytes of all terms' lists, each coded as df, then (doc gap, tf, number of positions, position gaps) per posting.
+
+    Positions are measured before the shuffle. Gaps are taken within ranges of ids; one row per range then tells the
+    gap between ranges.
+    """
     size = F.size("positions")
-    body = vbyte_length(F.col("gap")) + vbyte_length(F.col("tf")) + vbyte_length(size) + position_bytes(F.col("positions"))
-    per_term = doc_gaps(postings).groupBy("term").agg(F.sum(body).alias("body"), F.count(F.lit(1)).alias("df"))
-    return per_term.agg(F.coalesce(F.sum(F.col("body") + vbyte_length(F.col("df"))), F.lit(0)).cast("long").alias("postings_bytes"))
+    rest = vbyte_length(F.col("tf")) + vbyte_length(size) + position_bytes(F.col("positions"))
+    rows = postings.select("term", F.floor(F.col("doc_id") / RANGE).alias("range"), "doc_id", rest.alias("rest"))
+    gap = F.col("doc_id") - F.lag("doc_id").over(Window.partitionBy("term", "range").orderBy("doc_id"))
+    ranges = rows.withColumn("gap", gap).groupBy("term", "range").agg(
+        F.sum(F.col("rest") + F.when(F.col("gap").isNotNull(), vbyte_length(F.col("gap"))).otherwise(0)).alias("body"),
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+    )
+    between = F.col("first") - F.lag("last", 1, 0).over(Window.partitionBy("term").orderBy("range"))
+    terms = ranges.withColumn("between", between).groupBy("term").agg(F.sum(F.col("body") + vbyte_length(F.col("between"))).alias("body"), F.sum("n").alias("df"))
+    return terms.agg(F.coalesce(F.sum(F.col("body") + vbyte_length(F.col("df"))), F.lit(0)).cast("long").alias("postings_bytes"))
 
 
 def uncompressed_bytes(postings: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexshard.functions.analyzer import DEFAULT, Analyzer
-from lexshard.session import spread
+from lexshard.session import settled, spread
 
 _POSTING = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
 
@@ -115,6 +115,14 @@ def build_index(documents: DataFrame, analyzer: Analyzer = DEFAULT) -> Index:
     return Index(postings, dictionary_of(postings), docs.select("doc_id", "title", "url", "length"), analyzer)
 
 
+def build_saved(documents: DataFrame, path: str, analyzer: Analyzer = DEFAULT) -> Index:
+    """Builds, saves and opens: the texts are analyzed once, and what comes of them is read for postings and docstats."""
+    docs = settled(analyzed(documents, analyzer))
+    postings = postings_of(docs)
+    Index(postings, dictionary_of(postings), docs.select("doc_id", "title", "url", "length"), analyzer).save(path)
+    return open_index(documents.sparkSession, path)
+
+
 def open_index(spark: SparkSession, path: str) -> Index:
     """A saved index, with the analyzer it was built with."""
     meta = spark.read.json(f"{path}/meta").first().asDict()

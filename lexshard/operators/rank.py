@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from lexshard.operators.index import Index
 
-TOPIC_LIMIT = 100_000  # query terms that are listed in a plan; more come as a table to join
+#: Different query terms of one job: they and their document frequencies are held by the driver and broadcast.
+TERM_LIMIT = 100_000
 
 
 class Ranker(Protocol):
@@ -71,27 +72,49 @@ def query_terms(index: Index, queries: Sequence[tuple[int, str]]) -> list[tuple[
     return [(q, i, t) for q, text in queries for i, t in enumerate(dict.fromkeys(index.analyzer.terms(text)))]
 
 
+def _wanted(index: Index, queries: Sequence[tuple[int, str]]) -> list[tuple[int, int, str, int]]:
+    """(query_id, ordinal, term, df) of the known terms. The queries are in the driver's hands, and so is a df for each of their terms."""
+    wanted = query_terms(index, queries)
+    terms = sorted({t for _, _, t in wanted})
+    if len(terms) > TERM_LIMIT:
+        raise ValueError(f"{len(terms)} different terms; at most {TERM_LIMIT} are searched in one job")
+    dfs = {r.term: r.df for r in index.dictionary.where(F.col("term").isin(terms)).select("term", "df").collect()} if terms else {}
+    return [(q, i, t, dfs[t]) for q, i, t in wanted if dfs.get(t)]
+
+
 def scores(index: Index, queries: Sequence[tuple[int, str]], ranker: Ranker | None = None, variants: Sequence[tuple[float, float]] = ()) -> DataFrame:
     """(query_id, doc_id, score) of every document that holds a term of the query; variants adds k1, b and BM25 for each.
 
-    Unknown terms add nothing. Documents that match with score 0 stay.
+    Unknown terms add nothing. Documents that match with score 0 stay. The frequencies of a query's terms in a document
+    become one row of as many numbers as the longest query has terms, so they combine before they are shuffled.
     """
-    spark = index.postings.sparkSession
-    wanted = query_terms(index, queries)
-    rows = spark.createDataFrame(wanted, "query_id long, ordinal int, term string")
-    terms = sorted({t for _, _, t in wanted})
-    only = (lambda df: df.where(F.col("term").isin(terms))) if len(terms) <= TOPIC_LIMIT else (lambda df: df.join(rows.select("term").distinct(), "term", "left_semi"))
+    wanted = _wanted(index, queries)
+    width = max((i for _, i, _, _ in wanted), default=0) + 1
     n_docs, avgdl = F.lit(index.n_docs), F.lit(float(index.avgdl))
-    weighted = rows.join(only(index.dictionary.select("term", "df")), "term")
-    hits = only(index.postings.select("term", "doc_id", "tf")).join(weighted, "term")
-    states = hits.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "tf", "df"))).alias("parts"))
-    docs = states.join(index.docstats.select("doc_id", "length"), "doc_id")
+    hits = index.postings.where(F.col("term").isin(sorted({t for _, _, t, _ in wanted}))).select("term", "doc_id", "tf")
+    if len(queries) == 1:  # the query is in the plan
+        terms = {i: (t, df) for _, i, t, df in wanted}
+        of = {i: F.col("term") == terms[i][0] if i in terms else F.lit(False) for i in range(width)}
+        dfs = F.array(*(F.lit(terms[i][1] if i in terms else None).cast("long") for i in range(width)))
+        tfs = hits.groupBy("doc_id").agg(*(F.max(F.when(of[i], F.col("tf"))).alias(f"tf{i}") for i in range(width)))
+        tfs = tfs.withColumns({"query_id": F.lit(queries[0][0]).cast("long"), "dfs": dfs})
+    else:
+        spark = index.postings.sparkSession
+        by_query: dict[int, list[int | None]] = {}
+        for q, i, _, df in wanted:
+            by_query.setdefault(q, [None] * width)[i] = df
+        rows = spark.createDataFrame([(q, i, t) for q, i, t, _ in wanted], "query_id long, ordinal int, term string")
+        tfs = hits.join(F.broadcast(rows), "term").groupBy("query_id", "doc_id").agg(*(F.max(F.when(F.col("ordinal") == i, F.col("tf"))).alias(f"tf{i}") for i in range(width)))
+        tfs = tfs.join(F.broadcast(spark.createDataFrame(list(by_query.items()), "query_id long, dfs array<long>")), "query_id")
+    docs = tfs.join(index.docstats.select("doc_id", "length"), "doc_id")
     keys = ["query_id"]
     if variants:
         docs = docs.withColumn("v", F.explode(F.array(*(F.struct(F.lit(float(k)).alias("k1"), F.lit(float(b)).alias("b")) for k, b in variants)))).select("*", "v.k1", "v.b")
         keys, ranker = ["query_id", "k1", "b"], BM25(F.col("k1"), F.col("b"))
     ranker = ranker or BM25()
-    score = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + ranker.term_score(p.tf, ranker.idf(p.df, n_docs), F.col("length"), avgdl))
+    score = F.lit(0.0)
+    for i in range(width):  # in the order of the query's terms, so that equal documents get the same sum
+        score = score + F.coalesce(ranker.term_score(F.col(f"tf{i}"), ranker.idf(F.col("dfs")[i], n_docs), F.col("length"), avgdl), F.lit(0.0))
     return docs.select(*keys, "doc_id", score.alias("score"))
 
 
@@ -100,21 +123,18 @@ def top_k(scored: DataFrame, k: int, by: Sequence[str] = ("query_id",)) -> DataF
 
     Such a heap takes a later document only if it beats the least one kept, and then gives up the smallest (score,
     id). So with t the k-th best score: all above t stay; of those at t that are among the first k documents, by id,
-    with a score of t or more, the largest ids fill the rest. Every step keeps at most k rows of a group per task.
-    Documents whose score is null or NaN are not expected. k must be positive.
+    with a score of t or more, the largest ids fill the rest. They are among the k smallest ids at t, so the first 2k
+    of each group by score and id hold all that can be chosen: each task passes on no more than that, and what follows
+    sees 2k rows a group. Documents whose score is null or NaN are not expected. k must be positive.
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    by = list(by)
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id")))
-    limit = ranked.where(F.col("r") <= k).groupBy(*by).agg(F.min("score").alias("t"))
-    above = scored.join(limit, by).where(F.col("score") >= F.col("t"))
-    best = above.where(F.col("score") > F.col("t"))
-    first = above.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id"))).where(F.col("r") <= k).drop("r")
-    kept = best.unionAll(first.where(F.col("score") == F.col("t"))).drop("t")
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("doc_id")))
-    chosen = kept.withColumn("r", rank).where(F.col("r") <= k).drop("r")
-    return chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "doc_id")))
+    group = Window.partitionBy(*by)
+    rows = scored.withColumn("r", F.row_number().over(group.orderBy(F.desc("score"), "doc_id"))).where(F.col("r") <= 2 * k)
+    rows = rows.withColumn("t", F.min(F.when(F.col("r") <= k, F.col("score"))).over(group)).where(F.col("score") >= F.col("t"))
+    rows = rows.withColumn("at", F.row_number().over(group.orderBy("doc_id"))).where((F.col("score") > F.col("t")) | (F.col("at") <= k))
+    rows = rows.withColumn("r", F.row_number().over(group.orderBy(F.desc("score"), F.desc("doc_id")))).where(F.col("r") <= k)
+    return rows.withColumn("rank", F.row_number().over(group.orderBy(F.desc("score"), "doc_id"))).drop("r", "t", "at")
 
 
 def batch_search(index: Index, queries: Sequence[tuple[int, str]], ranker: Ranker | None = None, k: int = 10) -> DataFrame:
@@ -125,4 +145,4 @@ def batch_search(index: Index, queries: Sequence[tuple[int, str]], ranker: Ranke
 
 def ranked_search(index: Index, query: str, ranker: Ranker | None = None, k: int = 10) -> DataFrame:
     """(rank, doc_id, score, title, url) for one query, best first; no rows if no term is known."""
-    return batch_search(index, [(0, query)], ranker, k).drop("query_id").orderBy("rank")
+    return batch_search(index, [(0, query)], ranker, k).drop("query_id").orderBy("rank").limit(k)
