@@ -36,6 +36,7 @@ def documents(spark: SparkSession, data_dir: str) -> DataFrame:
 # A synthetic corpus. Words are made from syllables, so no word lists are needed; draws are hashes of (seed, document,
 # place), so every document can be made anywhere, and again.
 
+# The names of the topics, and the connecting words (all but a few of them stop words).
 TOPICS = ("machine_learning", "astronomy", "cooking", "music", "medicine", "finance", "history", "geography", "sports", "law", "chemistry", "computing")
 CONNECTORS = ("the", "of", "and", "to", "in", "is", "was", "for", "with", "that", "as", "on", "by", "an", "this", "from", "at", "which", "has", "are", "it", "its", "been", "their")
 _CONSONANTS, _VOWELS = "bcdfghklmnprstvw", "aeiou"
