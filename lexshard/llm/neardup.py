@@ -9,7 +9,7 @@ form a BK-tree (children keyed by their integer distance to the parent); a searc
 One tree over all pages would neither fit a task nor, with pages far apart from each other, prune much. So the pages
 are first put into shards that no similar pair can escape: order all words from rare to common; two similar sets share
 a word among the first n - ceil(0.7 n) + 1 of each (prefix filtering). The order needs no exact counts, only one and
-the same for all: counts in a table of fixed size serve, and they are what is broadcast - trees are not, as they grow
+the same for all: counts in a table of bounded size serve, and they are what is broadcast - trees are not, as they grow
 with the data; each tree is built in the task that searches it. Shards of too many pages are split into blocks, and
 each pair of blocks is searched as a task of its own.
 
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from lexshard.functions.text import tokens
 from lexshard.operators.components import components
 from lexshard.plans.sql import words_sql
-from lexshard.session import settled, spread, table
+from lexshard.session import settled, single, spread, table
 
-#: Word counts are kept modulo this many buckets: 4 MB, whatever the vocabulary.
-BUCKETS = 1 << 20
+#: Word counts are kept in a table of as many buckets as there are different words, within these bounds: 4 to 64 MB.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 24
 #: Pages of a shard that are searched against each other in one task.
 BLOCK = 1000
 _SHARDS = "token long, i int, j int, side int, n int, left int, id long, sketch binary"
@@ -74,15 +74,21 @@ def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
         yield ident, flat[offsets[i] : offsets[i + 1]]
 
 
-def _bucket(words: np.ndarray) -> np.ndarray:
-    return words & (BUCKETS - 1)
+def _buckets(sets: DataFrame) -> int:
+    """A power of two near the number of different words, so that a word rarely shares its bucket."""
+    (words,) = single(sets.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w")))
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(words).bit_length()))
+
+
+def _of(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return counts[words & (len(counts) - 1)]
 
 
 def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The rarest words of a set, as many as any similar set must share one of."""
     n = len(words)
     take = n - (7 * n + 9) // 10 + 1
-    rank = counts[_bucket(words)]
+    rank = _of(counts, words)
     return words[np.lexsort((words, rank))[:take]]
 
 
@@ -94,20 +100,20 @@ def sketch(words: np.ndarray) -> bytes:
     return np.packbits(flips, bitorder="little").tobytes()
 
 
-def _count(sets: DataFrame, what) -> np.ndarray:
-    """Sum over all sets of the bucket counts of what(words); one table of fixed size comes back."""
+def _count(sets: DataFrame, what, buckets: int) -> np.ndarray:
+    """Sum over all sets of the bucket counts of what(words); one table of so many buckets comes back."""
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             found = [what(w) for _, w in _sets(batch)]
             if found:
-                total += np.bincount(_bucket(np.concatenate(found)), minlength=BUCKETS)
+                total += np.bincount(np.concatenate(found) & (buckets - 1), minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     summed = sets.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(BUCKETS, np.int64)
+    out = np.zeros(buckets, np.int64)
     out[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
     return out.clip(max=2**31 - 1).astype(np.int32)
 
@@ -221,8 +227,9 @@ def class_pairs(sets: DataFrame) -> DataFrame:
     """(a, b), a < b: all pairs of classes at least 7/10 alike; sets is (class, words), settled."""
     spark = sets.sparkSession
     sets = spread(sets)
-    order = spark.sparkContext.broadcast(_count(sets, lambda w: w))
-    sizes = spark.sparkContext.broadcast(_count(sets, lambda w: prefix(w, order.value)))
+    buckets = _buckets(sets)
+    order = spark.sparkContext.broadcast(_count(sets, lambda w: w, buckets))
+    sizes = spark.sparkContext.broadcast(_count(sets, lambda w: prefix(w, order.value), buckets))
 
     def shards(batches):
         names = ["token", "i", "j", "side", "n", "left", "id", "sketch"]
@@ -231,7 +238,7 @@ def class_pairs(sets: DataFrame) -> DataFrame:
             packed = []
             for ident, words in _sets(batch):
                 head = prefix(words, order.value)
-                size = sizes.value[_bucket(head)]
+                size = _of(sizes.value, head)
                 left = (len(words) - np.arange(len(head)))[size > 1]
                 head, size = head[size > 1], size[size > 1]
                 blocks = -(-size // BLOCK)
