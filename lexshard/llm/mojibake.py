@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from unicodedata import category, name
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshard.session import spread, table
+from lexshard.session import settled, spread, table
 
 #: Encodings a text may have been read in by mistake, and those it may have been written in (besides UTF-8).
 READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r", "cp866", "cp1250", "iso8859_2", "iso8859_15", "mac_cyrillic", "iso8859_5", "iso8859_9")
@@ -139,9 +140,37 @@ def garbled_words(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in re.split(r"[ \t\r\n]+", text) if not w.isascii()))
 
 
+def _signs() -> re.Pattern:
+    """What garbled text shows without a model: lost and control characters, UTF-8 sequences of the usual scripts as every
+    encoding reads them, in lower case too, and what letters of one single-byte encoding become in another: symbols or
+    capitals within a word, two scripts in it, many accented letters in a row."""
+    some = lambda chars: "[" + "".join(re.escape(c) for c in sorted(chars)) + "]"
+    parts = ["[\ufffd\x80-\x84\x86-\x9f]"]
+    for c in READ_AS:
+        lead, tail = ({ch for ch, b in BYTES_OF[c].items() if b in at} for at in ((0xC2, 0xC3, 0xC4, 0xC5, 0xCE, 0xCF, 0xD0, 0xD1), range(0x80, 0xC0)))
+        if c in CYRILLIC:
+            parts += [f"(?:{some(lead)}{some(tail)}){{2}}", f"{some(lead)}{some(ch for ch in tail if category(ch)[0] == 'S')}"]
+        else:
+            parts += [f"{some(lead | {ch.lower() for ch in lead if ch.isalpha()})}{some(tail)}"]
+        parts.append(re.escape(_decoded(c)[0xE2] + _decoded(c)[0x80]))
+    every = {ch for m in BYTES_OF.values() for ch in m}
+    letters = {ch for ch in every if ch.isalpha() and ch not in "ªºµ"}
+    script = {k: {ch for ch in letters if name(ch).startswith(k)} for k in ("LATIN", "CYRILLIC", "GREEK")}
+    symbols = {ch for ch in every if not ch.isalnum() and ch not in "’‘–—…·\xad\xa0«»“”" and ch.isprintable()}
+    low, up = some(ch for ch in letters if ch.islower()), some(ch for ch in letters if ch.isupper())
+    word = some(letters)[:-1] + "A-Za-z]"
+    parts += [f"{word}{some(symbols)}+{word}", f"{low[:-1]}a-z]{up}", f"{low}[A-Z]", f"{some(script['LATIN'])}{{4}}"]
+    for k in ("CYRILLIC", "GREEK"):
+        parts += [f"{some(letters - script[k])[:-1]}A-Za-z]{some(script[k])}", f"{some(script[k])}{some(letters - script[k])[:-1]}A-Za-z]"]
+    return re.compile("|".join(parts))
+
+
+_SIGNS = _signs()
+
+
 def looks_clean(text: str) -> bool:
-    """Whether a record may train the models at first: nothing lost, no control characters, no plain garbling of Latin letters."""
-    return not re.search("[\ufffd\x80-\x84\x86-\x9f]|[\xc2\xc3][\xa0-\xbf\u0152-\u2122]|\xe2\u20ac", text)
+    """Whether a record may train the models at first: it shows no sign of garbling. Many that do are clean after all."""
+    return text.isascii() or not _SIGNS.search(text)
 
 
 @dataclass
@@ -270,18 +299,14 @@ def _table(tables: pa.Table) -> Model:
     return Model(*counts, records=int(n[kind == 3].sum()))
 
 
-def trained(texts: DataFrame) -> Model:
-    """The models, counted over all clean records of texts (a column text), and the margin validated on some.
-
-    What comes to the driver are tables of fixed size. The margin is the least of MARGINS that changes no more of
-    the validation records than the largest does: records that are garbled after all gain far more than any of them.
-    """
+def _counted(texts: DataFrame, clean) -> Model:
+    """The models of the texts that are clean. What comes to the driver are tables of fixed size."""
 
     def count(batches):
         tables, records = [np.zeros(s, np.int64) for s in SLOTS], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                if not looks_clean(text):
+                if not clean(text):
                     continue
                 records += 1
                 low = " ".join(re.split(r"[ \t\r\n]+", text.lower()))
@@ -292,10 +317,24 @@ def trained(texts: DataFrame) -> Model:
         cols = [pa.array(kinds), pa.array(np.concatenate([*at, [0]]).astype(np.int64)), pa.array(np.concatenate([*(t[a] for t, a in zip(tables, at)), [records]]))]
         yield pa.RecordBatch.from_arrays(cols, ["kind", "slot", "n"])
 
-    clean = texts.where(F.col("text").isNotNull() & (F.length("text") > 0)).select("text")
-    summed = clean.mapInArrow(count, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n"))
-    model = _table(summed.toArrow())
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    return _table(spread(texts).mapInArrow(count, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow())
+
+
+def trained(texts: DataFrame) -> Model:
+    """The models, counted over all clean records of texts (a column text), and the margin validated on some.
+
+    A text counts once, however many records hold it. The first models are counted over the texts that show no sign of
+    garbling and judge all; the models that stay are counted over the texts that no chain of the first improves.
+    What comes to the driver are tables of fixed size. The margin is the least of MARGINS that changes no more of
+    the validation records than the largest does: records that are garbled after all gain far more than any of them.
+    """
+
+    spark = texts.sparkSession
+    distinct = settled(texts.where(F.col("text").isNotNull() & (F.length("text") > 0)).select("text").distinct())
+    model = _counted(distinct, looks_clean)
+    first = spark.sparkContext.broadcast(model)
+    model = _counted(distinct, lambda text: text.isascii() or not first.value.judge(text)[0])
+    shared = spark.sparkContext.broadcast(model)
 
     def gains(batches):
         model = shared.value
@@ -304,7 +343,7 @@ def trained(texts: DataFrame) -> Model:
             top = [max((model.undone(w).gain for w in garbled_words(t)), default=0.0) if looks_clean(t) else 0.0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(top, pa.float64())], ["gain"])
 
-    sample = clean.where(F.col("text").rlike(NOT_ASCII)).orderBy(F.xxhash64("text"), "text").limit(VALIDATION_ROWS)
+    sample = distinct.where(F.col("text").rlike(NOT_ASCII)).orderBy(F.xxhash64("text"), "text").limit(VALIDATION_ROWS)
     top = sample.mapInArrow(gains, "gain double").toArrow().column("gain").to_numpy()
     model.margin = next(m for m in MARGINS if (top > m).sum() <= (top > MARGINS[-1]).sum())
     return model

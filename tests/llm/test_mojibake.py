@@ -76,3 +76,16 @@ def test_long_text(spark, tables):
     text = " ".join(t for _, _, _, t in rows[1:9]) * 300
     rows = [r for r in rows if r[0] % 10] + [(7000, None, None, text), (7001, None, None, text + " " + "façade décor naïve".encode().decode("latin-1"))]
     assert [r.doc_id for r in mojibake.p8_found(spark, tables(documents=rows)).collect()] == [7001]
+
+
+@pytest.mark.parametrize("written_in, read_as, lang", [("cp1251", "latin-1", "ru"), ("utf-8", "cp437", "fr"), ("cp1252", "mac_roman", "fr")])
+def test_one_source_garbled_alike_does_not_train(spark, tables, written_in, read_as, lang):
+    pick = random.Random(5)
+    sentence = lambda t: " ".join(pick.sample(CLEAN[t].split(" "), 9)) + "."
+    langs = sorted(set(CLEAN) - {lang})
+    rows = [(i, None, None, " ".join(sentence(lang if i % 15 == 0 else langs[i % 5]) for _ in range(3))) for i in range(300)]
+    bad = {1000 + i: " ".join(sentence(lang) for _ in range(4)) for i in range(150)}
+    copies = {2000 + i: bad[1000] for i in range(40)}
+    rows += [(i, None, None, t.encode(written_in, "ignore").decode(read_as)) for i, t in (bad | copies).items()]
+    found = {r.doc_id for r in mojibake.p8_found(spark, tables(documents=rows)).collect()}
+    assert found == set(bad | copies)
