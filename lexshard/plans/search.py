@@ -425,13 +425,13 @@ def latency_percentile(spark: SparkSession, data_dir: str) -> DataFrame:
 
 @query()
 def synthetic_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
-    return corpus.synthetic_corpus(spark, n_docs=2000, n_spam=20)
+    return corpus.synthetic_corpus(spark)
 
 
 @query()
 def synthetic_quality(spark: SparkSession, data_dir: str) -> DataFrame:
     """The topic queries over a synthetic corpus: nDCG@10 needs length normalisation to keep the spam out."""
-    docs = corpus.synthetic_corpus(spark, n_docs=2000, n_spam=250)
+    docs = corpus.synthetic_corpus(spark)
     index = build_index(docs, UNSTEMMED)
     best = rank.top_k(rank.scores(index, corpus.topic_queries(), variants=[(1.5, 0.0), (1.5, 0.75)]), 10, ("query_id", "k1", "b"))
     return metrics.judged(best, corpus.topic_qrels(docs), 10, ("query_id", "k1", "b")).groupBy("k1", "b").agg(F.avg("ndcg_at_k").alias("ndcg_at_k"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -80,13 +82,17 @@ def _pick(words: list[str], u: Column) -> Column:
 
 
 def _zipf(words: list[str], u: Column) -> Column:
-    """By rank: the inverse of the cumulative Zipf weights, tabulated at even steps of u and so without a search."""
-    cumulative, steps, at, table_ = zipf_cumulative(len(words)), 4096, 0, []
-    for s in range(steps):
-        while cumulative[at] < (s + 0.5) / steps:
-            at += 1
-        table_.append(words[at])
-    return F.get(F.split(F.lit(" ".join(table_)), " "), F.floor(u * steps).cast("int"))
+    """By rank: the first word whose cumulative Zipf weight exceeds u, which is below 1.
+
+    A table at even steps of u bounds the rank, from both sides; the few weights between are compared with u.
+    """
+    cumulative, steps = zipf_cumulative(len(words)), 4096
+    at = [bisect_right(cumulative, s / steps) for s in range(steps)] + [len(words) - 1]
+    row = lambda values, kind: F.split(F.lit(" ".join(map(str, values))), " ").cast(f"array<{kind}>")
+    step = F.floor(u * steps).cast("int")
+    low = F.get(row(at[:-1], "int"), step)
+    between = F.slice(row(cumulative, "double"), low + 1, F.get(row([b - a for a, b in zip(at, at[1:])], "int"), step))
+    return F.get(F.split(F.lit(" ".join(words)), " "), low + F.size(F.filter(between, lambda c: c <= u)))
 
 
 def synthetic_corpus(spark: SparkSession, n_docs: int = 20000, seed: int = 7, min_len: int = 60, max_len: int = 260, n_spam: int = 250, spam_len: int = 1800) -> DataFrame:

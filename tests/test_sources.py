@@ -1,3 +1,4 @@
+import bisect
 import json
 
 from pyspark.sql import functions as F
@@ -39,6 +40,16 @@ def test_synthetic_corpus(spark):
     assert len(corpus.topic_queries()) == 12 and corpus.topic_qrels(df).count() == 200
 
 
+def test_zipf_draws_every_word_by_its_weight(spark):
+    words, steps = corpus.background_vocabulary(), 1 << 16
+    weights = corpus.zipf_cumulative(len(words))
+    edges = [x for a, b in zip([0.0, *weights], weights) for x in (a, (a + b) / 2)]
+    us = [i / steps for i in range(steps)] + edges
+    rows = spark.createDataFrame([(u,) for u in us], "u double").select("u", corpus._zipf(words, F.col("u")).alias("w")).collect()
+    assert {r.w for r in rows} == set(words)
+    assert all(r.w == words[bisect.bisect_right(weights, r.u)] for r in rows)
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "w.jsonl").write_text("\n".join(LINES))
     out = str(tmp_path / "index")
