@@ -267,8 +267,8 @@ class Model:
         """(chains, whole, {word: word undone}): no chains if nothing is garbled, whole if nothing was lost.
 
         A byte chain turns characters into others that are possible too, so one word proves little: it must gain
-        EVIDENCE over the different words of the record together and undo more than one kind of character (one
-        that no text has, a control character, suffices), and gain more than the UTF-8 chains of the words do.
+        EVIDENCE over the different words of the record together (the margin, if a control character is among them, which
+        no text has), and gain more than the UTF-8 chains of the words do.
         """
         words = {w: self.undone(w) for w in garbled_words(text)}
         fixes = {w: u.word for w, u in words.items() if u.chains}
@@ -284,7 +284,7 @@ class Model:
             gain = sum(g for g, _, _ in votes[best].values())
             kinds = {a for _, w, v in votes[best].values() for a, b in zip(w, v) if a != b}
             controls = any("\x80" <= c < "\xa0" and c != "\x85" for c in kinds)
-            if gain > sum(apart.values()) and (gain >= EVIDENCE and len(kinds) > 1 or gain >= self.margin and controls):
+            if gain > sum(apart.values()) and (gain >= EVIDENCE or gain >= self.margin and controls):
                 written_in, _, read_as = best.partition(" as ")
                 undone = {w: undo_bytes(w, read_as, written_in) for w in words}
                 return [best], True, {w: v for w, v in undone.items() if v is not None and v != w}

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from lexshard.llm import mojibake
@@ -89,3 +90,19 @@ def test_one_source_garbled_alike_does_not_train(spark, tables, written_in, read
     rows += [(i, None, None, t.encode(written_in, "ignore").decode(read_as)) for i, t in (bad | copies).items()]
     found = {r.doc_id for r in mojibake.p8_found(spark, tables(documents=rows)).collect()}
     assert found == set(bad | copies)
+
+
+@pytest.mark.parametrize("passage, chain", [("café, cliché, protégé, décor, été", ("cp1252", "mac_roman")), ("była mała stała łódka miała", ("cp1250", "cp1252"))])
+def test_passage_with_one_kind_of_letter(passage, chain):
+    model = model_of([passage, *CLEAN.values()] * 40)
+    garbled = passage.encode(chain[0]).decode(chain[1])
+    chains, whole, fixes = model.judge("Plain words before. " + garbled)
+    assert chains and whole and " ".join(fixes.get(w, w) for w in garbled.split(" ")) == passage and model.judge(passage)[0] == []
+
+
+def model_of(texts):
+    tables = [np.zeros(n, np.int64) for n in mojibake.SLOTS]
+    for text in texts:
+        for t, s in zip(tables, mojibake._slots(mojibake._codes(f" {text.lower()} "))):
+            t[np.unique(s)] += 1
+    return mojibake.Model(*tables, records=len(texts))
