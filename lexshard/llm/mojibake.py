@@ -28,9 +28,9 @@ READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "koi8_r
 WRITTEN_IN = ("cp1252", "cp1251", "koi8_r", "cp866", "iso8859_5", "mac_cyrillic", "cp1250", "iso8859_2", "cp1257", "iso8859_7", "cp1253", "mac_roman", "cp437", "cp850")
 #: Slots of the hash tables for trigrams, bigrams and characters.
 SLOTS = (1 << 20, 1 << 18, 1 << 16)
-#: Records the margin is validated on, at most, and the margins that may come out.
-VALIDATION_ROWS = 1000
+#: The margins that may come out, and the share of clean records by which one may change more than the largest.
 MARGINS = (4.0, 5.0, 6.0, 8.0)
+STRAY = 0.001
 NOT_ASCII = "[^\\x00-\\x7F]"
 LOST = "�"
 MOST_TIMES = 4
@@ -320,13 +320,18 @@ def _counted(texts: DataFrame, clean) -> Model:
     return _table(spread(texts).mapInArrow(count, "kind int, slot long, n long").groupBy("kind", "slot").agg(F.sum("n").alias("n")).toArrow())
 
 
+def least_margin(records: int, over: list[int]) -> float:
+    """The least of MARGINS that changes few more clean records than the largest does; over: how many gain more than each."""
+    return next(m for m, n in zip(MARGINS, over) if n - over[-1] <= STRAY * records)
+
+
 def trained(texts: DataFrame) -> Model:
-    """The models, counted over all clean records of texts (a column text), and the margin validated on some.
+    """The models, counted over all clean records of texts (a column text), and the margin validated on them.
 
     A text counts once, however many records hold it. The first models are counted over the texts that show no sign of
     garbling and judge all; the models that stay are counted over the texts that no chain of the first improves.
-    What comes to the driver are tables of fixed size. The margin is the least of MARGINS that changes no more of
-    the validation records than the largest does: records that are garbled after all gain far more than any of them.
+    What comes to the driver are tables of fixed size. The margin is validated on
+    every text that the first models find clean (records that are garbled after all gain far more than any margin).
     """
 
     spark = texts.sparkSession
@@ -337,15 +342,18 @@ def trained(texts: DataFrame) -> Model:
     shared = spark.sparkContext.broadcast(model)
 
     def gains(batches):
-        model = shared.value
+        model, over = shared.value, np.zeros(len(MARGINS) + 1, np.int64)
         model.margin = 0.0
         for batch in batches:
-            top = [max((model.undone(w).gain for w in garbled_words(t)), default=0.0) if looks_clean(t) else 0.0 for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(top, pa.float64())], ["gain"])
-
-    sample = distinct.where(F.col("text").rlike(NOT_ASCII)).orderBy(F.xxhash64("text"), "text").limit(VALIDATION_ROWS)
-    top = sample.mapInArrow(gains, "gain double").toArrow().column("gain").to_numpy()
-    model.margin = next(m for m in MARGINS if (top > m).sum() <= (top > MARGINS[-1]).sum())
+            for t in batch.column(0).to_pylist():
+                if not first.value.judge(t)[0]:
+                    top = max((model.undone(w).gain for w in garbled_words(t)), default=0.0)
+                    over += [1, *(top > m for m in MARGINS)]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in over], ["records", *(f"over{i}" for i in range(len(MARGINS)))])
+
+    counts = spread(distinct.where(F.col("text").rlike(NOT_ASCII))).mapInArrow(gains, ", ".join(f"{c} long" for c in ["records", *(f"over{i}" for i in range(len(MARGINS)))]))
+    records, *over = (n or 0 for n in counts.agg(*(F.sum(c) for c in counts.columns)).first())
+    model.margin = least_margin(records, over)
     return model
 
 

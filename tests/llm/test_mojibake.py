@@ -106,3 +106,13 @@ def model_of(texts):
         for t, s in zip(tables, mojibake._slots(mojibake._codes(f" {text.lower()} "))):
             t[np.unique(s)] += 1
     return mojibake.Model(*tables, records=len(texts))
+
+
+def test_margin_is_not_decided_by_copies_or_by_one_record(spark):
+    """Every different text counts once, and all do: copies of one text leave the margin as it is."""
+    assert mojibake.least_margin(10_000, [5, 4, 4, 3]) == 4.0 and mojibake.least_margin(10_000, [40, 30, 9, 3]) == 6.0 and mojibake.least_margin(0, [0] * 4) == 4.0
+    rows, _ = documents(150)
+    few = spark.createDataFrame([(t,) for _, _, _, t in rows], "text string")
+    many = few.union(spark.createDataFrame([(rows[0][3],)] * 1500, "text string"))
+    a, b = mojibake.trained(few), mojibake.trained(many)
+    assert a.margin == b.margin and a.records == b.records and all((x == y).all() for x, y in ((a.three, b.three), (a.two, b.two), (a.one, b.one)))
