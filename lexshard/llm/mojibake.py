@@ -268,28 +268,50 @@ class Model:
 
         A byte chain turns characters into others that are possible too, so one word proves little: it must gain
         EVIDENCE over the different words of the record together (the margin, if a control character is among them, which
-        no text has), and gain more than the UTF-8 chains of the words do.
+        no text has); only words vote that it serves better than the UTF-8 chains do. It is undone where it gains; the
+        next chain, if any, is sought among the words that are left, and the other words keep their UTF-8 repairs.
         """
         words = {w: self.undone(w) for w in garbled_words(text)}
-        fixes = {w: u.word for w, u in words.items() if u.chains}
-        chains = list(dict.fromkeys(c for u in words.values() for c in u.chains))
-        votes: dict[str, dict[str, tuple[float, str, str]]] = {}
-        apart: dict[str, float] = {}
-        for w, u in words.items():
-            apart[w.strip(PUNCTUATION)] = u.gain
-            for chain, v, gain in u.bytewise:
-                votes.setdefault(chain, {}).setdefault(w.strip(PUNCTUATION), (gain, w, v))
-        best = max(votes, key=lambda c: (sum(g for g, _, _ in votes[c].values()), c), default=None)
-        if best is not None:
+        fixes: dict[str, str] = {}
+        chains: list[str] = []
+        while True:
+            votes: dict[str, dict[str, tuple[float, str, str]]] = {}
+            for w, u in words.items():
+                for chain, v, gain in u.bytewise if w not in fixes else ():
+                    if gain > u.gain:
+                        votes.setdefault(chain, {}).setdefault(w.strip(PUNCTUATION), (gain, w, v))
+            best = max(votes, key=lambda c: (sum(g for g, _, _ in votes[c].values()), c), default=None)
+            if best is None:
+                break
             gain = sum(g for g, _, _ in votes[best].values())
-            kinds = {a for _, w, v in votes[best].values() for a, b in zip(w, v) if a != b}
-            controls = any("\x80" <= c < "\xa0" and c != "\x85" for c in kinds)
-            if gain > sum(apart.values()) and (gain >= EVIDENCE or gain >= self.margin and controls):
-                written_in, _, read_as = best.partition(" as ")
-                undone = {w: undo_bytes(w, read_as, written_in) for w in words}
-                return [best], True, {w: v for w, v in undone.items() if v is not None and v != w}
+            controls = any("\x80" <= c < "\xa0" and c != "\x85" for _, w, v in votes[best].values() for c, d in zip(w, v) if c != d)
+            left = {w: u.gain for w, u in words.items() if w not in fixes}
+            if gain <= sum({w.strip(PUNCTUATION): g for w, g in left.items()}.values()):  # words with UTF-8 repairs keep them
+                gain, controls = sum(g for g, w, _ in votes[best].values() if not words[w].chains), False
+                left = {w: g for w, g in left.items() if not words[w].chains}
+            if not (gain >= EVIDENCE or gain >= self.margin and controls):
+                break
+            chains.append(best)
+            fixes |= self.passages(text, best, left)
+        for w, u in words.items():
+            if u.chains and w not in fixes:
+                fixes[w] = u.word
+                chains += u.chains
+        chains = list(dict.fromkeys(chains))
         return chains, "lost" not in chains, fixes
 
+    def passages(self, text: str, chain: str, left: dict[str, float]) -> dict[str, str]:
+        """{word: word undone} of the words that gain by a byte chain more than left says, and of those that stand only between such words and lose little."""
+        written_in, _, read_as = chain.partition(" as ")
+        undone = {w: v for w in left if (v := undo_bytes(w, read_as, written_in)) is not None and v != w and LOST not in w}
+        gains = {w: self.known(v) - self.known(w) for w, v in undone.items()}
+        gaining = {w for w, g in gains.items() if g > left[w]}
+        order = [w for w in re.split(r"[ \t\r\n]+", text) if not w.isascii()]
+        inside = dict.fromkeys(order, True)
+        for before, w, after in zip(["", *order], order, [*order[1:], ""]):
+            inside[w] &= before in gaining and after in gaining
+        return {w: v for w, v in undone.items() if w in gaining or inside[w] and left[w] <= 0 and gains[w] > -self.margin}
+
 
 def _table(tables: pa.Table) -> Model:
     counts = [np.zeros(s, np.int32) for s in SLOTS]

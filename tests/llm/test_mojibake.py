@@ -116,3 +116,16 @@ def test_margin_is_not_decided_by_copies_or_by_one_record(spark):
     many = few.union(spark.createDataFrame([(rows[0][3],)] * 1500, "text string"))
     a, b = mojibake.trained(few), mojibake.trained(many)
     assert a.margin == b.margin and a.records == b.records and all((x == y).all() for x, y in ((a.three, b.three), (a.two, b.two), (a.one, b.one)))
+
+
+def test_only_the_garbled_passages_are_changed():
+    model = model_of([*CLEAN.values()] * 40)
+    wrong = {
+        "ru": CLEAN["ru"].encode("cp1251").decode("latin-1"), "de": CLEAN["de"].encode().decode("latin-1"), "pl": CLEAN["pl"].encode("iso8859_2").decode("cp1252", "ignore"),
+    }
+    for langs in (("ru",), ("ru", "de"), ("ru", "pl")):
+        chains, whole, fixes = model.judge("\n".join([CLEAN["fr"], *(wrong[x] for x in langs), CLEAN["en"]]))
+        undo = lambda t: " ".join(fixes.get(w, w) for w in t.split(" "))
+        assert whole and len(chains) == len(langs)
+        assert undo(CLEAN["fr"]) == CLEAN["fr"] and undo(CLEAN["en"]) == CLEAN["en"]
+        assert [x for x in langs if x != "pl" and undo(wrong[x]) != CLEAN[x]] == []
