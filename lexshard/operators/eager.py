@@ -33,24 +33,28 @@ def eager_join(
     Columns: on, left_by, right_by, left_rows, left_<sum>..., right_rows, right_<sum>..., joined_rows,
     joined_left_<sum>, joined_right_<sum>. Keys of one side only have 0 rows on the other (how = full, left or
     right) or are left out (inner). Null keys equal nothing: they stay as unmatched states, as in SQL. The columns
-    named in left_sums and right_sums may carry the same names on both sides.
+    named in left_sums and right_sums may carry the same names on both sides. Products are decimal(38, 0): those of two
+    longs may be beyond a long.
     """
     a = key_states(left, [*on, *left_by], left_sums, "left")
     b = key_states(right, [*on, *right_by], right_sums, "right")
     out = a.join(b, list(on), how)
     counts = [c for c in out.columns if c.startswith(("left_", "right_")) and c not in {*left_by, *right_by}]
     out = out.select(*on, *left_by, *right_by, *(F.coalesce(c, F.lit(0)).alias(c) for c in counts))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    product = lambda a, b: (wide(a) * wide(b)).cast("decimal(38,0)")
     return out.select(
         "*",
-        (F.col("left_rows") * F.col("right_rows")).alias("joined_rows"),
-        *((F.col(f"left_{n}") * F.col("right_rows")).alias(f"joined_left_{n}") for n in left_sums),
-        *((F.col(f"right_{n}") * F.col("left_rows")).alias(f"joined_right_{n}") for n in right_sums),
+        product("left_rows", "right_rows").alias("joined_rows"),
+        *(product(f"left_{n}", "right_rows").alias(f"joined_left_{n}") for n in left_sums),
+        *(product(f"right_{n}", "left_rows").alias(f"joined_right_{n}") for n in right_sums),
     )
 
 
 def rolled_up(states: DataFrame, by: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """The states summed up to coarser keys."""
-    return states.groupBy(*by).agg(*(F.sum(c).cast("long").alias(c) for c in sums))
+    """The states summed up to coarser keys; longs stay longs, products decimals."""
+    kinds = dict(states.dtypes)
+    return states.groupBy(*by).agg(*(F.sum(c).cast(kinds[c]).alias(c) for c in sums))
 
 
 def heavy(states: DataFrame, rows: str, share: int, total: DataFrame | None = None) -> DataFrame:
@@ -59,4 +63,4 @@ def heavy(states: DataFrame, rows: str, share: int, total: DataFrame | None = No
     Compared in whole numbers. No rows at all: no heavy keys.
     """
     whole = (total if total is not None else states.agg(F.sum(rows))).scalar()
-    return states.where((F.col(rows) > 0) & (F.col(rows) * share >= whole))
+    return states.where((F.col(rows) > 0) & (F.col(rows).cast("decimal(19,0)") * share >= whole))

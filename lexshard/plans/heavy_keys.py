@@ -36,7 +36,7 @@ def key_totals(spark: SparkSession, data_dir: str) -> DataFrame:
 def p4_totals(spark: SparkSession, data_dir: str) -> DataFrame:
     return key_totals(spark, data_dir).select(
         "key_kind", "key_value", F.col("left_rows").alias("postings"), F.col("left_tf").alias("total_tf"),
-        F.col("right_rows").alias("listed"), F.col("right_amount").alias("listed_amount"), "joined_rows", F.col("joined_left_tf").alias("joined_tf"),
+        F.col("right_rows").alias("listed"), F.col("right_amount").alias("listed_amount"), F.col("joined_rows").cast("long").alias("joined_rows"), F.col("joined_left_tf").cast("long").alias("joined_tf"),
     )
 
 
@@ -45,7 +45,7 @@ def p4_found(spark: SparkSession, data_dir: str) -> DataFrame:
     states = key_totals(spark, data_dir)
     keyed = keyed_postings(clean_postings(table(spark, data_dir, "postings")))
     # The same states before the join, so that Spark reuses their shuffle; each posting is in two of them.
-    whole = key_states(keyed, ["key_kind", "key_value"], {"tf": "tf"}, "left").agg((F.sum("left_rows") / 2).cast("long"))
+    whole = key_states(keyed, ["key_kind", "key_value"], {"tf": "tf"}, "left").agg(F.expr("sum(left_rows) div 2"))
     return heavy(states, "left_rows", HEAVY_SHARE, whole).select("key_kind", "key_value")
 
 
@@ -55,7 +55,7 @@ def p4_block_totals(spark: SparkSession, data_dir: str) -> DataFrame:
         clean_postings(table(spark, data_dir, "postings")), clean_dictionary(table(spark, data_dir, "dictionary")), ["term"], {"tf": "tf"}, {"df": "df"}, how="right", right_by=["block_no"]
     )
     return rolled_up(states, ["block_no"], ["right_rows", "right_df", "joined_rows", "joined_left_tf"]).select(
-        "block_no", F.col("right_rows").alias("terms"), F.col("right_df").alias("sum_df"), F.col("joined_rows").alias("postings"), F.col("joined_left_tf").alias("sum_tf")
+        "block_no", F.col("right_rows").alias("terms"), F.col("right_df").alias("sum_df"), F.col("joined_rows").cast("long").alias("postings"), F.col("joined_left_tf").cast("long").alias("sum_tf")
     )
 
 

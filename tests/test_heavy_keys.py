@@ -47,6 +47,14 @@ def test_heavy_keys_and_ties(spark):
     assert heavy(states.limit(0), "left_rows", 3).count() == 0
 
 
+def test_products_beyond_a_long(spark):
+    """2^62 on one side, two rows on the other; and row counts whose product with the share no long holds."""
+    big = spark.createDataFrame([("a", 10**13)], "k string, v long")
+    joined = eager_join(big.withColumn("one", F.lit(2**62)), big.unionAll(big), ["k"], {"one": "one"}, {"v": "v"}).first()
+    assert joined.joined_left_one == 2**63 and joined.joined_right_v == 2 * 10**13
+    assert [r.k for r in heavy(spark.createDataFrame([("a", 10**17), ("b", 10**14)], "k string, left_rows long"), "left_rows", 220).collect()] == ["a"]
+
+
 @pytest.fixture
 def tables(spark, tmp_path):
     def write(postings, dictionary, docstats):
