@@ -22,6 +22,8 @@ from lexshard.session import single, table
 #: What p2_found asks for: so many occurrences, so many pages, so many times the rate of the whole collection.
 MIN_TF, MIN_PAGES, RATIO = 3, 2, 20
 ROUNDS = 40
+#: Share of the log-odds by which rounding may be wrong.
+SLACK = 1e-9
 _TINY = 1e-9
 
 
@@ -120,22 +122,40 @@ def p2_scores(spark: SparkSession, data_dir: str) -> DataFrame:
     return scored(counts, pages).select("term", "doc_id", "tf", elite_probability(F.col("model"), F.col("tf")).alias("score"))
 
 
+def exact(number: Column) -> Column:
+    """For products that a long can't hold."""
+    return number.cast("decimal(19,0)")
+
+
+def least_count(total_tf: Column, length: Column, everything: Column) -> Column:
+    """From how many occurrences on a term stands out in a page of this length; needn't be whole."""
+    return F.greatest(F.lit(float(MIN_TF)), RATIO * total_tf.cast("double") / everything.cast("double") * length.cast("double"))
+
+
+def standing_out(postings: DataFrame, everything: Column) -> DataFrame:
+    """The rows of (tf, total_tf, length, model, ...) whose elite log-odds reach those of the least count.
+
+    Log-odds are linear in the count and don't fall, so none is lost; SLACK covers the rounding of doubles.
+    """
+    at, cut = (log_odds(F.col("model"), x) for x in (F.col("tf"), least_count(F.col("total_tf"), F.col("length"), everything)))
+    return postings.where(at >= cut - SLACK * (1 + F.abs(cut)))
+
+
+def candidates(counts: DataFrame, docstats: DataFrame, pages: int) -> DataFrame:
+    """(term, doc_id, tf, pages, total_tf, model, length): postings of MIN_TF or more, of terms in MIN_PAGES or more pages."""
+    models = term_models(counts, pages).where(F.col("pages") >= MIN_PAGES)
+    return counts.where(F.col("tf") >= MIN_TF).join(models, "term").join(page_lengths(counts, docstats), "doc_id")
+
+
 def p2_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(doc_id, term): the terms that clearly stand out in a page.
+    """(doc_id, term): the terms that clearly stand out in a page, by the posterior against the cut of each posting.
 
-    A posting is a candidate if its elite log-odds are not below those of MIN_TF occurrences of the same term.
-    The log-odds rise with tf, so no posting of MIN_TF or more occurrences is lost. The stated rule then decides,
-    in whole numbers.
+    What rounding might let through is tested in whole numbers after.
     """
     counts, docstats, pages = _inputs(spark, data_dir)
     everything = counts.agg(F.sum("tf")).scalar()
-    models = term_models(counts, pages).where(F.col("pages") >= MIN_PAGES)
-    candidates = counts.where(F.col("tf") >= MIN_TF).join(models, "term").where(log_odds(F.col("model"), F.col("tf")) >= log_odds(F.col("model"), F.lit(MIN_TF)))
-    return (
-        candidates.join(page_lengths(counts, docstats), "doc_id")
-        .where(F.col("tf") * everything >= RATIO * F.col("total_tf") * F.col("length"))
-        .select("doc_id", "term")
-    )
+    rule = exact(F.col("tf")) * exact(everything) >= F.lit(RATIO) * (exact(F.col("total_tf")) * exact(F.col("length")))
+    return standing_out(candidates(counts, docstats, pages), everything).where(rule).select("doc_id", "term")
 
 
 QUERIES = {"p2_found": p2_found, "p2_scores": p2_scores}

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexshard.llm import elite, frequency
 from tests.llm.conftest import NOW
@@ -68,3 +69,26 @@ def test_distinctive_terms_score_higher(spark, tables):
     rows = [("the", d, 5, None, 0, NOW) for d in range(200)] + [("comet", d, 9 if d < 5 else 1, None, 0, NOW) for d in range(40)]
     scores = {(r.term, r.doc_id): r.score for r in elite.p2_scores(spark, tables(postings=rows, docstats=[(d, None, None, 30) for d in range(200)])).collect()}
     assert scores["comet", 0] > 0.99 and scores["comet", 0] > scores["comet", 30]
+
+
+def test_the_posterior_decides_and_loses_nothing(spark, tables):
+    """Of the candidates the cut on the posterior leaves the stated cases; the whole-number rule finds nothing more to remove."""
+    clean, lengths, rows, stats = messy(seed=9, pages=90)
+    counts, docstats, pages = elite._inputs(spark, tables(postings=rows, docstats=stats))
+    everything = sum(clean.values())
+    total = {}
+    for (t, _), tf in clean.items():
+        total[t] = total.get(t, 0) + tf
+    all_ = [(r.doc_id, r.term, r.tf) for r in elite.candidates(counts, docstats, pages).collect()]
+    left = {(r.doc_id, r.term) for r in elite.standing_out(elite.candidates(counts, docstats, pages), F.lit(everything)).collect()}
+    assert left == {(d, t) for d, t, tf in all_ if tf * everything >= 20 * total[t] * lengths[d]}
+    assert 0 < len(left) < len(all_)
+
+
+def test_counts_beyond_a_long_product(spark):
+    """20 * 10^13 * 10^13 is more than a long; of two equal rates one is on the rule, one just below."""
+    model = F.struct(F.lit(0.01).alias("share"), F.lit(1.0).alias("lam0"), F.lit(50.0).alias("lam1"))
+    rows = spark.createDataFrame([(1, 2 * 10**12), (2, 2 * 10**12 - 1)], "doc_id long, tf long").withColumns({"total_tf": F.lit(10**13), "length": F.lit(10**13), "model": model})
+    everything = F.lit(10**15)
+    got = elite.standing_out(rows, everything).where(elite.exact(F.col("tf")) * elite.exact(everything) >= F.lit(20) * (elite.exact(F.col("total_tf")) * elite.exact(F.col("length"))))
+    assert [r.doc_id for r in got.collect()] == [1]
