@@ -30,7 +30,7 @@ def _kinds() -> np.ndarray:
     return table
 
 
-def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(the bytes of all texts, where each begins and the last ends); null texts are empty."""
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     ends = np.frombuffer(texts.buffers()[1], wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -66,7 +66,7 @@ def _ascii() -> np.ndarray:
 def split_words(texts: pa.Array) -> pa.ListArray:
     """list<string> of the words of each text, in order; none for a null text."""
     texts = pc.fill_null(texts, "")
-    raw, ends = _bytes_of(texts)
+    raw, ends = bytes_of(texts)
     high = np.flatnonzero(raw >= 0x80)
     if not len(high):
         return _cut(_ascii()[raw], ends)
@@ -80,7 +80,7 @@ def split_words(texts: pa.Array) -> pa.ListArray:
     found = _cut(kinds[stays] if len(gone) else kinds, at - np.searchsorted(gone, at))
     if not len(plain):
         return found
-    raw, ends = _bytes_of(texts.take(pa.array(plain)))
+    raw, ends = bytes_of(texts.take(pa.array(plain)))
     both = pa.concat_arrays([_cut(_ascii()[raw], ends), found])
     place = np.empty(len(texts), np.int64)
     place[plain], place[other] = np.arange(len(plain)), len(plain) + np.arange(len(other))

@@ -15,13 +15,20 @@ def table(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{data_dir}/{name}.parquet")
 
 
+#: Tables of more bytes than this are never reshuffled to spread them.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, where the files alone give fewer partitions than there are cores.
+    """The rows over all cores, where a small table's files alone give fewer partitions than there are cores.
 
-    A table of one small file is one partition; CPU-bound work on it would run on one core. A table of
-    many files has more partitions than cores and passes through without a shuffle.
+    A table of one small file is one partition; CPU-bound work on it would run on one core. A larger one is split by
+    the scan (spark.sql.files.maxPartitionBytes) and passes through without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SPREAD_BYTES:
+        return df
+    cores = spark.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
