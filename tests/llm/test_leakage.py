@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexshard.functions.text import words_of
@@ -38,21 +39,37 @@ def test_pairs_against_brute_force(spark, tables, monkeypatch):
     assert len(found) == len(set(found)) and set(found) == expected and len(expected) > 100
     counts = {r.item_id: r.documents for r in leakage.p7_items(spark, data).collect()}
     assert counts == {i: sum(x == i for _, x in expected) for i in {x for _, x in expected}}
-    monkeypatch.setattr(leakage, "WORDS_A_PASS", 300)  # several passes over the documents
+    for name, size in (("LEAST_SLOTS", 64), ("MOST_SLOTS", 64), ("LEAST_BITS", 64), ("MOST_BITS", 64)):
+        monkeypatch.setattr(leakage, name, size)  # tables far too small: every block may end a pattern, every run be one
     assert {tuple(r) for r in leakage.p7_found(spark, data).collect()} == expected
 
 
+def tables_of(items, slots, bits):
+    words, ends, _ = leakage._numbers(pa.array([" ".join(w) for w in items]))
+    slot, shift, entry, held = leakage.Patterns.entries(words, ends, slots, bits)
+    out = leakage.Patterns(np.full(slots, leakage.RUN - 1, np.uint8), np.zeros(bits // 64, np.uint64))
+    out.shifts[slot], out.bits[entry] = shift, held
+    return out
+
+
 @pytest.mark.parametrize("segment", [1, 7, 256])
-def test_search_jumps_over_nothing(segment, monkeypatch):
+@pytest.mark.parametrize("slots, bits", [(64, 64), (1 << 16, 1 << 18)])
+def test_search_jumps_over_nothing(segment, slots, bits, monkeypatch):
     monkeypatch.setattr(leakage, "SEGMENT", segment)
     docs, items = made(segment)
-    patterns = leakage.Patterns.of(list(enumerate(items)))
-    number = {w: i for i, w in enumerate(patterns.vocabulary)}
-    flat = np.array([number.get(w, -1) for d in docs for w in d])
-    ends = np.cumsum([len(d) for d in docs])
-    text, pattern = patterns.search(flat, ends - [len(d) for d in docs], ends)
-    got = {(t, i) for t, p in zip(text.tolist(), pattern.tolist()) for i in patterns.items[patterns.owner[p] : patterns.owner[p + 1]].tolist()}
-    assert got == brute(docs, items)
+    words, ends, split = leakage._numbers(pa.array([" ".join(d) for d in docs]))
+    text, place, _ = tables_of(items, slots, bits).search(words, ends)
+    runs = {tuple(w[i : i + 10]) for w in items for i in range(len(w) - 9)}
+    got = {(t, said) for t, said in zip(text.tolist(), leakage._said(split, place)) if tuple(said.split()) in runs}
+    assert got == {(d, " ".join(w[i : i + 10])) for d, w in enumerate(docs) for i in range(len(w) - 9) if tuple(w[i : i + 10]) in runs}
+    if bits > 64:
+        assert len(text) < 1.1 * sum(tuple(w[i : i + 10]) in runs for w in docs for i in range(len(w) - 9)) + 5
+
+
+def test_tables_are_bounded():
+    assert leakage.Patterns.sizes(0) == (1 << 16, 1 << 16)
+    assert leakage.Patterns.sizes(20_000_000) == (1 << 22, 1 << 28) == leakage.Patterns.sizes(10**15)
+    assert all(n & (n - 1) == 0 for words in (5000, 123_457) for n in leakage.Patterns.sizes(words))
 
 
 def test_accents_and_case_don_t_matter():
