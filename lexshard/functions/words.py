@@ -26,7 +26,7 @@ def _kinds() -> np.ndarray:
     table = np.zeros(sys.maxunicode + 1, np.uint8)
     for c in b"abcdefghijklmnopqrstuvwxyz0123456789":
         table[c] = c
-    table[[c for c in range(0x300, sys.maxunicode + 1) if unicodedata.combining(chr(c))]] = _GONE
+    table[[c for c in range(0x300, 0x20000) if unicodedata.combining(chr(c))]] = _GONE  # none stands beyond
     return table
 
 
@@ -70,7 +70,7 @@ def split_words(texts: pa.Array) -> pa.ListArray:
     high = np.flatnonzero(raw >= 0x80)
     if not len(high):
         return _cut(_ascii()[raw], ends)
-    other = np.unique(np.searchsorted(ends, high, "right") - 1)
+    other = distinct(np.searchsorted(ends, high, "right") - 1)
     plain = np.setdiff1d(np.arange(len(texts)), other)
     folded = [unicodedata.normalize("NFKD", t.lower()) for t in texts.take(pa.array(other)).to_pylist()]
     kinds = _kinds()[np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -100,6 +100,12 @@ def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
         start = stop
 
 
+def distinct(numbers: np.ndarray) -> np.ndarray:
+    """The different numbers in order; sorting whole arrays is what numpy does fastest."""
+    out = np.sort(numbers)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
+
+
 def coded(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
     """(where each text's words begin and the last end, number of each word, the different words)."""
     ends = words.offsets.to_numpy().astype(np.int64)
@@ -107,8 +113,27 @@ def coded(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
     return ends - ends[0], flat.indices.to_numpy().astype(np.int64), flat.dictionary
 
 
-def hashes(words: pa.StringArray) -> np.ndarray:
-    """64-bit hash of each word, the same everywhere."""
-    import xxhash
+#: Powers of an odd number, for the places of a word's characters; a longer word goes through them again, mixed with its part.
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(64)], np.uint64)
+
 
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A permutation of 64-bit numbers that spreads every bit over all."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def hashes(words: pa.StringArray) -> np.ndarray:
+    """64-bit hash of each word, the same everywhere; 0 for an empty one."""
+    raw, ends = bytes_of(words)
+    if not len(raw):
+        return np.zeros(len(words), np.int64)
+    sizes = np.diff(ends)
+    place = np.arange(len(raw)) - np.repeat(ends[:-1], sizes)
+    parts = raw.astype(np.uint64) * _POWERS[place & 63]
+    if (long := place >= 64).any():
+        parts[long] = mixed(parts[long] + (place[long] >> 6).astype(np.uint64) * _POWERS[1])
+    total = np.append(np.uint64(0), np.cumsum(parts))
+    out = total[ends[1:]] - total[ends[:-1]]
+    return mixed(np.where(sizes > 0, out + sizes.astype(np.uint64) * _POWERS[0], np.uint64(0))).view(np.int64)

@@ -52,7 +52,7 @@ def settled(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The rows, written once to the shared folder and read back: lineage ends, a lost executor loses nothing."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"settled-{uuid.uuid4().hex}")
-    (df.select(*columns) if columns else df).write.parquet(path)
+    (df.select(*columns) if columns else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
 
 

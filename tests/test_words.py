@@ -37,3 +37,28 @@ def test_codes_and_hashes_are_those_of_the_words():
     assert ends.tolist() == [0, 3, 3, 5] and [names[i].as_py() for i in code.tolist()] == ["b", "a", "b", "a", "c"]
     again = words.hashes(pa.array(["c", "a"]))
     assert words.hashes(names)[code].tolist()[-2:] == again[::-1].tolist()
+
+
+def test_no_combining_mark_lies_beyond_the_table():
+    import sys
+    import unicodedata
+
+    assert not any(unicodedata.combining(chr(c)) for c in range(0x20000, sys.maxunicode + 1))
+
+
+def test_distinct_numbers():
+    import numpy as np
+
+    assert words.distinct(np.array([3, 1, 3, 2, 1])).tolist() == [1, 2, 3] and len(words.distinct(np.empty(0, np.int64))) == 0
+
+
+def test_hashes_of_different_words_differ():
+    import numpy as np
+
+    names = sorted({f"w{i}" for i in range(200_000)} | {"ab" * n for n in range(1, 200)} | {"a" * n for n in range(1, 300)} | {"x" * 64 + c + "y" * 64 for c in "abc"} | {"x" * 128 + c for c in "abc"})
+    got = words.hashes(pa.array(names))
+    assert len(np.unique(got)) == len(names)
+    assert words.hashes(pa.array(names[5:9])).tolist() == got[5:9].tolist() == words.hashes(pa.array(names).slice(5, 4)).tolist()
+    bits = np.unpackbits(got.view(np.uint8)).reshape(-1, 64).mean(0)
+    assert (abs(bits - 0.5) < 0.01).all()
+    assert words.hashes(pa.array([""])).tolist() == [0] and len(words.hashes(pa.array([], pa.string()))) == 0
