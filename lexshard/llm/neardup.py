@@ -11,15 +11,17 @@ are first put into shards that no similar pair can escape: order all words from
 a word among the first n - ceil(0.7 n) + 1 of each (prefix filtering). The order needs no exact counts, only one and
 the same for all: counts in a table of bounded size serve, and they are what is broadcast - trees are not, as they grow
 with the data; each tree is built in the task that searches it. Shards of too many pages are split into blocks, and
-each pair of blocks is searched as a task of its own.
+each pair of blocks is searched as a task of its own. All trees of a batch are built level by level and searched in step,
+on arrays.
 
 Pages with equal word sets are one class, so copies cost nothing; classes are searched, and pairs of pages follow from
-class pairs and membership.
+class pairs and membership. What is kept between the steps are the texts of the classes, which take less room than
+their hashed words and are split again where words are needed; sketches are of hashed words, pairs are compared by the
+words themselves.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,245 +29,328 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshard.functions.text import tokens
+from lexshard.functions.words import bytes_of, distinct, hashes, mixed, pieces, split_words
 from lexshard.operators.components import components
 from lexshard.plans.sql import words_sql
 from lexshard.session import settled, single, spread, table
 
-#: Word counts are kept in a table of as many buckets as there are different words, within these bounds: 4 to 64 MB.
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 24
+#: Word counts are kept in a table of so many buckets, at 4 bytes 1 to 16 MiB; the more, the better the order of the words.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 18, 1 << 22
 #: Pages of a shard that are searched against each other in one task.
-BLOCK = 1000
-_SHARDS = "token long, i int, j int, side int, n int, left int, id long, sketch binary"
-#: Sizes of word sets in steps of 10/7: a similar smaller set is of the same step or the one before.
+BLOCK = 2000
+#: Nodes that the searches which run in step may visit at most, together.
+VISITS = 1 << 21
+#: A row's block, then side (its lowest bit), whether the block is searched within itself, left and n (31 bits each).
+_SHARDS = "block long, packed long, id long, sketch binary"
+#: Sizes of word sets in steps of 10/7: a similar smaller set is of the same step or one of the two before.
 STEPS = [1]
 while STEPS[-1] < 1 << 40:
     STEPS.append(-(-STEPS[-1] * 10 // 7))
+_STEPS = np.array(STEPS)
 
 
-def page_sets(wiki: DataFrame) -> DataFrame:
-    """(id, words, seen): per delivery the sorted, distinct, hashed words of title and text.
+def deliveries(wiki: DataFrame) -> DataFrame:
+    """(id, seen, title, text): every delivery of a page with a text; ids that aren't numbers are dropped."""
+    rows = wiki.select(F.expr("try_cast(id AS bigint)").alias("id"), F.col("fetched_at").alias("seen"), F.coalesce("title", F.lit("")).alias("title"), "text")
+    return spread(rows.where(F.col("id").isNotNull() & F.col("text").isNotNull()))
+
+
+class Sets:
+    """The distinct words of each row's title and text, hashed: row i has words[ends[i]:ends[i + 1]], in order."""
+
+    def __init__(self, title: pa.Array, text: pa.Array) -> None:
+        split = [split_words(text), split_words(title)]
+        lengths = [np.diff(w.offsets.to_numpy().astype(np.int64)) for w in split]
+        self.has_text = lengths[0] > 0
+        self.rows = len(text)
+        coded = pa.concat_arrays([w.values for w in split]).dictionary_encode()
+        of = np.concatenate([np.repeat(np.arange(self.rows), n) for n in lengths])
+        hashed = hashes(coded.dictionary)
+        order = np.argsort(hashed, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        size = max(len(order), 1)
+        keys = distinct(of * size + rank[coded.indices.to_numpy()])
+        self.of = keys // size
+        self.code, self.hashed = keys - self.of * size, hashed[order]
+        self.words = self.hashed[self.code]
+        self.ends = np.searchsorted(self.of, np.arange(self.rows + 1))
+        self.n = np.diff(self.ends)
 
-    Only pages with a word in the text; ids that aren't numbers are dropped. A null title has no words.
-    """
-    title, text = tokens(F.col("title")), tokens(F.col("text"))
-    split = wiki.select(F.expr("try_cast(id AS bigint)").alias("id"), title.alias("t"), text.alias("w"), F.col("fetched_at").alias("seen"))
-    words = F.array_sort(F.array_distinct(F.transform(F.concat("t", "w"), lambda w: F.xxhash64(w))))
-    return split.where(F.col("id").isNotNull() & (F.size("w") > 0)).select("id", words.alias("words"), "seen")
 
+def _buckets(pages: DataFrame) -> int:
+    """A power of two that grows with the texts, well above the number of words that are often enough to matter."""
+    (chars,) = single(pages.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))))
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(chars // 64).bit_length()))
 
-def classes(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members (id, class), class sets (class, words)): pages with equal word sets; class is their smallest id.
 
-    A page delivered several times counts as it came last. Both are written to the shared folder.
+def classes(wiki: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(members (id, class), texts (class, title, text), counts): pages with equal word sets; class is their smallest id.
+
+    Only pages with a word in their text. A page delivered several times counts as it came last. Members and texts are
+    written to the shared folder. counts tells for each bucket of words how many deliveries hold them.
     """
-    keyed = settled(sets.select("id", "words", "seen", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")))
-    last = keyed.groupBy("id").agg(F.max(F.struct("seen", "h1", "h2")).alias("x")).select("id", "x.h1", "x.h2")
-    reps = last.groupBy("h1", "h2").agg(F.min("id").alias("class"))
-    members = settled(last.join(reps, ["h1", "h2"]).select("id", "class"))
-    first = keyed.select("id", "h1", "h2", "words").join(reps.select(F.col("class").alias("id"), "h1", "h2"), ["id", "h1", "h2"]).dropDuplicates(["id"])
-    return members, settled(first.select(F.col("id").alias("class"), "words"))
+    import xxhash
+
+    pages = deliveries(wiki).withColumn("place", F.xxhash64("title", "text"))
+    buckets = _buckets(pages)
+
+    def keyed(batches):
+        """Of each delivery with a word in its text the 128-bit hash of its word set; in the end the counts."""
+        total = np.zeros(buckets, np.int64)
+        names = ["id", "seen", "place", "key", "bucket", "n"]
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                sets = Sets(part.column("title"), part.column("text"))
+                total += np.bincount(_slot(sets.words, buckets), minlength=buckets)
+                at = np.flatnonzero(sets.has_text)
+                keys = [xxhash.xxh3_128_digest(sets.words[sets.ends[i] : sets.ends[i + 1]].tobytes()) for i in at.tolist()]
+                kept = part.select(names[:3]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(keys, pa.binary()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names)
+        at = np.flatnonzero(total)
+        none = [pa.nulls(len(at), k) for k in (pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.binary())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(total[at])], names)
 
+    rows = settled(pages.mapInArrow(keyed, "id long, seen timestamp, place long, key binary, bucket int, n long"))
+    last = settled(rows.where(F.col("bucket").isNull()).groupBy("id").agg(F.max(F.struct("seen", "place", "key")).alias("x")).select("id", "x.place", "x.key"))
+    reps = last.groupBy("key").agg(F.min(F.struct("id", "place")).alias("x")).select("key", "x.id", "x.place")
+    members = settled(last.select("id", "key").join(reps.select("key", F.col("id").alias("class")), "key").select("id", "class"))
+    texts = pages.select("id", "place", "title", "text").join(reps.select("id", "place"), ["id", "place"], "left_semi").dropDuplicates(["id", "place"])
+    return members, settled(texts.select(F.col("id").alias("class"), "title", "text")), _summed(rows.where(F.col("bucket").isNotNull()), buckets)
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    words = batch.column("words")
-    offsets, flat = words.offsets.to_numpy(), words.values.to_numpy()
-    for i, ident in enumerate(batch.column("class").to_numpy()):
-        yield ident, flat[offsets[i] : offsets[i + 1]]
 
+def _summed(counts: DataFrame, buckets: int) -> np.ndarray:
+    """The sums per bucket of (bucket, n): one table of so many buckets comes to the driver."""
+    summed = counts.groupBy("bucket").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    out = np.zeros(buckets, np.int32)
+    out[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
+    return out
 
-def _buckets(sets: DataFrame) -> int:
-    """A power of two near the number of different words, so that a word rarely shares its bucket."""
-    (words,) = single(sets.select(F.explode("words").alias("w")).agg(F.approx_count_distinct("w")))
-    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << int(words).bit_length()))
 
+def _slot(words: np.ndarray, buckets: int) -> np.ndarray:
+    return words & (buckets - 1)
 
-def _of(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return counts[words & (len(counts) - 1)]
 
+def prefixes(sets: Sets, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, how many words from it on) of the rarest words of each set, as many as any similar set must share one of."""
+    take = sets.n - (7 * sets.n + 9) // 10 + 1
+    order = np.lexsort((sets.hashed, counts[_slot(sets.hashed, len(counts))]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    size = max(len(order), 1)
+    sorted_ = np.sort(sets.of * size + rank[sets.code])
+    place = np.arange(len(sorted_)) - np.repeat(sets.ends[:-1], sets.n)
+    kept = place < np.repeat(take, sets.n)
+    row = sets.of[kept]
+    return row, sets.hashed[order[sorted_[kept] - row * size]], sets.n[row] - place[kept]
 
-def prefix(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The rarest words of a set, as many as any similar set must share one of."""
-    n = len(words)
-    take = n - (7 * n + 9) // 10 + 1
-    rank = _of(counts, words)
-    return words[np.lexsort((words, rank))[:take]]
 
+def sketches(sets: Sets) -> pa.BinaryArray:
+    """Parity of each set's words over W bits, W the power of two from 2n up, at least 256."""
+    width = np.maximum(256, 1 << np.ceil(np.log2(np.maximum(2 * sets.n, 1))).astype(np.int64))
+    starts = np.append(0, np.cumsum(width))
+    flips = np.bincount(starts[:-1][sets.of] + ((sets.words >> 20) & (width[sets.of] - 1)), minlength=starts[-1]) & 1
+    return pa.Array.from_buffers(pa.binary(), sets.rows, [None, pa.py_buffer((starts // 8).astype(np.int32)), pa.py_buffer(np.packbits(flips.astype(np.uint8), bitorder="little"))])
 
-def sketch(words: np.ndarray) -> bytes:
-    """Parity of the set's words over W bits, W the power of two from 2n up, at least 256: a fixed order of bytes."""
-    n = len(words)
-    width = max(256, 1 << int(2 * n - 1).bit_length())
-    flips = np.bincount((words >> 20) & (width - 1), minlength=width) & 1
-    return np.packbits(flips, bitorder="little").tobytes()
 
+def _slices(starts: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... many[0] of them, then those of starts[1], and so on."""
+    return np.repeat(starts - np.cumsum(many) + many, many) + np.arange(many.sum())
 
-def _count(sets: DataFrame, what, buckets: int) -> np.ndarray:
-    """Sum over all sets of the bucket counts of what(words); one table of so many buckets comes back."""
 
-    def count(batches):
-        total = np.zeros(buckets, np.int64)
-        for batch in batches:
-            found = [what(w) for _, w in _sets(batch)]
-            if found:
-                total += np.bincount(np.concatenate(found) & (buckets - 1), minlength=buckets)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+class Trees:
+    """BK-trees over sketches of one width. Row i lies in the tree named of[i], rows of a tree follow each other.
 
-    summed = sets.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(buckets, np.int64)
-    out[summed.column("bucket").to_numpy()] = summed.column("n").to_numpy()
-    return out.clip(max=2**31 - 1).astype(np.int32)
-
-
-class Tree:
-    """A BK-tree over sketches of one width; nodes hold all pages with the same sketch."""
-
-    __slots__ = ("root",)
-
-    def __init__(self) -> None:
-        self.root = None
-
-    def add(self, key: int, page: tuple) -> None:
-        if self.root is None:
-            self.root = (key, [page], {})
-            return
-        node = self.root
-        while True:
-            d = (node[0] ^ key).bit_count()
-            if d == 0:
-                node[1].append(page)
-                return
-            if (child := node[2].get(d)) is None:
-                node[2][d] = (key, [page], {})
-                return
-            node = child
-
-    def near(self, key: int, n: int, left: int, radius: int) -> list[int]:
-        """The pages within the radius of their own size and n; radius holds for all pages of the tree."""
-        stack, found = [self.root], []
-        while stack:
-            at, pages, children = stack.pop()
-            d = (at ^ key).bit_count()
-            if d <= radius:
-                for m, rest, ident in pages:
-                    if 17 * d <= 3 * (n + m) and 17 * min(left, rest) >= 7 * (n + m):
-                        found.append(ident)
-            if children:
-                low, high = d - radius, d + radius
-                for e, child in children.items():
-                    if low <= e <= high:
-                        stack.append(child)
-        return found
-
-
-def block_pairs(rows: list[tuple[int, int, int, int, bytes]], within: bool) -> Iterator[tuple[int, int]]:
-    """Candidate pairs of one block (within) or between its two sides; rows (side, n, left, id, sketch) by rising n.
+    A node is a row; the first of a tree is its root. Rows look for their place together: each is at a node, and steps
+    down the edge of its distance, or becomes the child there if there is none.
+    """
+
+    def __init__(self, lanes: list[np.ndarray], of: np.ndarray) -> None:
+        self.lanes = lanes
+        self.names, self.roots = np.unique(of, return_index=True)
+        self.sizes = np.diff(np.append(self.roots, len(of)))
+        at = np.repeat(self.roots, self.sizes)
+        parent, edge = np.full(len(of), -1), np.full(len(of), -1)
+        left = np.flatnonzero(at != np.arange(len(of)))
+        wide = 64 * len(lanes) + 1
+        while len(left):
+            d = self.distance(left, at[left])
+            _, first, where = np.unique(at[left] * wide + d, return_index=True, return_inverse=True)
+            child = left[first][where.reshape(-1)]
+            new = child == left
+            parent[left[new]], edge[left[new]] = at[left[new]], d[new]
+            at[left] = child
+            left = left[~new]
+        order = np.argsort(parent, kind="stable")
+        self.child, self.edge = order, edge[order]
+        self.first = np.searchsorted(parent[order], np.arange(len(of) + 1))
+
+    def distance(self, a: np.ndarray, b: np.ndarray, lanes: list[np.ndarray] | None = None) -> np.ndarray:
+        out = np.zeros(len(a), np.int64)
+        for x, y in zip(lanes or self.lanes, self.lanes):
+            out += np.bitwise_count(x[a] ^ y[b])
+        return out
+
+    def near(self, lanes: list[np.ndarray], query: np.ndarray, name: np.ndarray, radius: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, row, distance) of the rows within a query's radius in the tree it names, if there is one; all searches in step."""
+        tree = np.minimum(np.searchsorted(self.names, name), len(self.names) - 1)
+        there = self.names[tree] == name
+        query, tree, radius = query[there], tree[there], radius[there]
+        part = np.cumsum(self.sizes[tree]) // VISITS
+        for k in np.unique(part):
+            now = part == k
+            q, node, r = query[now], self.roots[tree[now]], radius[now]
+            while len(q):
+                d = self.distance(q, node, lanes)
+                hit = d <= r
+                yield q[hit], node[hit], d[hit]
+                start, many = self.first[node], self.first[node + 1] - self.first[node]
+                edge = _slices(start, many)
+                q, r, d, node = np.repeat(q, many), np.repeat(r, many), np.repeat(d, many), self.child[edge]
+                follow = np.abs(self.edge[edge] - d) <= r
+                q, r, node = q[follow], r[follow], node[follow]
+
+
+def _lanes(packed: pa.Array, rows: np.ndarray, width: int) -> list[np.ndarray]:
+    """The sketches of some rows, all of so many bits, as columns of 64 bits."""
+    raw, _ = bytes_of(packed.take(pa.array(rows)))
+    flat = np.frombuffer(raw.tobytes(), "<u8").reshape(len(rows), width // 64)
+    return [np.ascontiguousarray(flat[:, k]) for k in range(width // 64)]
+
+
+def block_pairs(block: np.ndarray, within: np.ndarray, side: np.ndarray, n: np.ndarray, left: np.ndarray, ident: np.ndarray, packed: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs (smaller id, larger id) of the rows of a block (within) or between a block's two sides.
 
     left counts the words of a page from the shard's word on, in the order of rarity. If the shard's word is the first
     that two pages share, they share at most left of either; they must share 7/17 of their sizes together. So a page
-    needs to be in a tree only if left is 14/17 of its size: the page that searches is no smaller.
-
-    Each page searches the trees of the pages before it and then joins its own. There is a tree for each width and
-    step of size; a similar smaller page has the same width or half of it, and a sketch folds to half its width.
+    needs to be in a tree only if left is 14/17 of its size: the page that searches is no smaller. There is a tree for
+    each width and step of size; a similar smaller page has the same width or half of it, and a sketch folds to half its
+    width.
     """
-    trees: dict[tuple[int, int, int], Tree] = {}
-    for side, n, left, ident, packed in rows:
-        width, key = 8 * len(packed), int.from_bytes(packed, "little")
-        step = bisect_right(STEPS, n)
-        if trees:
-            half = (key >> (width // 2)) ^ (key & ((1 << (width // 2)) - 1))
-            for low in range(bisect_right(STEPS, -(-7 * n // 10)), step + 1):
-                radius = 3 * (n + min(n, STEPS[low] - 1)) // 17
-                for w, k in ((width, key), (width // 2, half)):
-                    if tree := trees.get((side if within else 1 - side, w, low)):
-                        for found in tree.near(k, n, left, radius):
-                            yield (found, ident) if found < ident else (ident, found)
-        if 17 * left >= 14 * n:
-            at = (side, width, step)
-            if at not in trees:
-                trees[at] = Tree()
-            trees[at].add(key, (n, left, ident))
+    raw_ends = np.frombuffer(packed.buffers()[1], np.int32)[packed.offset : packed.offset + len(packed) + 1]
+    width = 8 * np.diff(raw_ends).astype(np.int64)
+    step = np.searchsorted(_STEPS, n, "right")
+    low = np.searchsorted(_STEPS, -(-7 * n // 10), "right")
+    name = lambda rows, sides, steps: (block[rows] * 2 + sides) * 64 + steps
+    found = []
+    for w in np.unique(width):
+        inside = np.flatnonzero((width == w) & (17 * left >= 14 * n))
+        if not len(inside):
+            continue
+        inside = inside[np.argsort(name(inside, side[inside], step[inside]), kind="stable")]
+        trees = Trees(_lanes(packed, inside, w), name(inside, side[inside], step[inside]))
+        for v in (w, 2 * w):
+            rows = np.flatnonzero(width == v)
+            if not len(rows):
+                continue
+            lanes = _lanes(packed, rows, v)
+            if v > w:
+                lanes = [a ^ b for a, b in zip(lanes[: len(lanes) // 2], lanes[len(lanes) // 2 :])]
+            searched = np.where(within[rows], side[rows], 1 - side[rows])
+            for back in range(3):
+                at = np.flatnonzero(step[rows] - back >= low[rows])
+                q = rows[at]
+                radius = 3 * (n[q] + np.minimum(n[q], _STEPS[step[q] - back] - 1)) // 17
+                for i, node, d in trees.near(lanes, at, name(q, searched[at], step[q] - back), radius):
+                    x, y = rows[i], inside[node]
+                    both = n[x] + n[y]
+                    ok = (17 * d <= 3 * both) & (17 * np.minimum(left[x], left[y]) >= 7 * both) & ((n[y] < n[x]) | (n[y] == n[x]) & (ident[y] < ident[x]))
+                    found.append(np.stack([np.minimum(ident[x[ok]], ident[y[ok]]), np.maximum(ident[x[ok]], ident[y[ok]])], 1))
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (token, i, j, n), each group wholly in one partition; groups may span batches."""
-    rest = None
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """Rows come sorted by block, each block wholly in one partition; blocks may span batches."""
+    rest: pa.Table | None = None
 
     def pairs(t: pa.Table, last: bool):
-        token, i, j = (t.column(c).to_numpy() for c in ("token", "i", "j"))
-        cut = np.flatnonzero((token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        starts = np.concatenate([[0], cut])
-        ends = np.concatenate([cut, [len(token)]])
-        done = len(token) if last else int(starts[-1])
-        side, n, left, ident = (t.column(c).to_numpy() for c in ("side", "n", "left", "id"))
-        packed = t.column("sketch")
-        found: set[tuple[int, int]] = set()
-        for s, e in zip(starts, ends):
-            if e - s > 1 and e <= done:
-                rows = list(zip(side[s:e].tolist(), n[s:e].tolist(), left[s:e].tolist(), ident[s:e].tolist(), packed.slice(s, e - s).to_pylist()))
-                found.update(block_pairs(rows, i[s] == j[s]))
-        return found, t.slice(done)
-
-    def out(found):
-        for k in range(0, len(found), 50_000):
-            part = found[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int64())], schema=schema)
+        block, packed = t.column("block").to_numpy(), t.column("packed").to_numpy()
+        new = np.append(True, block[1:] != block[:-1])
+        done = len(block) if last else int(np.flatnonzero(new)[-1])
+        packed = packed[:done]
+        columns = ((packed >> 1 & 1).astype(bool), packed & 1, packed >> 2 & 0x7FFFFFFF, packed >> 33, t.column("id").to_numpy()[:done])
+        a, b = block_pairs(np.cumsum(new)[:done], *columns, t.column("sketch").slice(0, done).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]), t.slice(done)
 
     for batch in batches:
         if batch.num_rows:
             now = pa.Table.from_batches([batch])
             found, rest = pairs(pa.concat_tables([rest, now]).combine_chunks() if rest is not None and rest.num_rows else now, False)
-            yield from out(list(found))
+            yield found
     if rest is not None and rest.num_rows:
-        found, _ = pairs(rest.combine_chunks(), True)
-        yield from out(list(found))
+        yield pairs(rest.combine_chunks(), True)[0]
+
+
+def alike(title_a: pa.Array, text_a: pa.Array, title_b: pa.Array, text_b: pa.Array) -> np.ndarray:
+    """Whether the distinct words both have are at least 7/10 of those either has, by the words themselves."""
+    rows = len(text_a)
+    split = [split_words(x) for x in (title_a, text_a, title_b, text_b)]
+    coded = pa.concat_arrays([w.values for w in split]).dictionary_encode()
+    code, size = coded.indices.to_numpy().astype(np.int64), max(len(coded.dictionary), 1)
+    of = [np.repeat(np.arange(rows), np.diff(w.offsets.to_numpy().astype(np.int64))) for w in split]
+    cut = len(of[0]) + len(of[1])
+    a, b = (distinct(np.concatenate(o) * size + c) for o, c in ((of[:2], code[:cut]), (of[2:], code[cut:])))
+    many = lambda keys: np.bincount(keys // size, minlength=rows)
+    common = many(np.intersect1d(a, b, assume_unique=True))
+    return (common > 0) & (10 * common >= 7 * (many(a) + many(b) - common))
 
 
-def class_pairs(sets: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of classes at least 7/10 alike; sets is (class, words), settled."""
-    spark = sets.sparkSession
-    sets = spread(sets)
-    buckets = _buckets(sets)
-    order = spark.sparkContext.broadcast(_count(sets, lambda w: w, buckets))
-    sizes = spark.sparkContext.broadcast(_count(sets, lambda w: prefix(w, order.value), buckets))
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch, "text_a"):
+            ok = alike(*(part.column(c) for c in ("title_a", "text_a", "title_b", "text_b")))
+            yield part.select(["a", "b"]).take(pa.array(np.flatnonzero(ok)))
+
+
+def class_pairs(texts: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(a, b), a < b: all pairs of classes at least 7/10 alike; texts is (class, title, text), settled."""
+    spark, buckets = texts.sparkSession, len(counts)
+    texts = spread(texts)
+    order = spark.sparkContext.broadcast(counts)
+
+    def sizes_of(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                total += np.bincount(_slot(prefixes(Sets(part.column("title"), part.column("text")), order.value)[1], buckets), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+
+    sizes = spark.sparkContext.broadcast(_summed(texts.mapInArrow(sizes_of, "bucket int, n long"), buckets))
 
     def shards(batches):
-        names = ["token", "i", "j", "side", "n", "left", "id", "sketch"]
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[] for _ in range(7)]
-            packed = []
-            for ident, words in _sets(batch):
-                head = prefix(words, order.value)
-                size = _of(sizes.value, head)
-                left = (len(words) - np.arange(len(head)))[size > 1]
-                head, size = head[size > 1], size[size > 1]
-                blocks = -(-size // BLOCK)
-                own = (int(ident) * 0x9E3779B97F4A7C15 & 0x7FFFFFFFFFFFFFFF) % blocks.astype(np.int64) if len(head) else head
-                at = np.repeat(np.arange(len(head)), blocks)
+            for part in pieces(batch, "text"):
+                sets = Sets(part.column("title"), part.column("text"))
+                row, word, left = prefixes(sets, order.value)
+                size = sizes.value[_slot(word, buckets)]
+                row, word, left, size = (x[size > 1] for x in (row, word, left, size))
+                ident = part.column("class").to_numpy()[row]
+                blocks = -(-size.astype(np.int64) // BLOCK)
+                own = (ident * np.int64(0x1E3779B97F4A7C15) & np.int64(2**62 - 1)) % blocks
+                at = np.repeat(np.arange(len(row)), blocks)
                 other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 mine = own[at]
-                for c, x in zip(cols, (head[at], np.minimum(mine, other), np.maximum(mine, other), (mine > other).astype(np.int32), np.full(len(at), len(words)), left[at], np.full(len(at), ident))):
-                    c.append(x)
-                packed.extend([sketch(words)] * len(at) if len(at) else [])
-            if packed:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), k) for c, k in zip(cols, kinds)] + [pa.array(packed, pa.binary())], names)
-
-    blocks = sets.mapInArrow(shards, _SHARDS).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "id")
+                low, high = np.minimum(mine, other).astype(np.uint64), np.maximum(mine, other).astype(np.uint64)
+                block = np.where(blocks[at] > 1, mixed(mixed(word[at].view(np.uint64) + low) + high).view(np.int64), word[at])
+                packed = (mine > other) | (mine == other) << 1 | sets.n[row[at]] << 2 | left[at] << 33
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(packed), pa.array(ident[at]), sketches(sets).take(pa.array(row[at]))], ["block", "packed", "id", "sketch"])
+
+    blocks = texts.mapInArrow(shards, _SHARDS).repartition("block").sortWithinPartitions("block")
     candidates = blocks.mapInArrow(_search, "a long, b long").distinct()
-    left = sets.select(F.col("class").alias("a"), F.col("words").alias("wa"))
-    right = sets.select(F.col("class").alias("b"), F.col("words").alias("wb"))
-    both = candidates.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
-    return both.where(10 * F.col("common") >= 7 * (F.size("wa") + F.size("wb") - F.col("common"))).select("a", "b")
+    left, right = (texts.select(F.col("class").alias(x), F.col("title").alias(f"title_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
+    return candidates.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long")
 
 
 def p3_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(id_a, id_b): all pairs of different pages whose words are at least 7/10 the same."""
-    members, sets = classes(page_sets(table(spark, data_dir, "wiki")))
+    """(id_a, id_b): all pairs of different pages whose words are at least 7/10 the same.
+
+    The pairs of k copies are k (k - 1) / 2 rows, as asked for; p3_groups says the same with one row per page.
+    """
+    members, texts, counts = classes(table(spark, data_dir, "wiki"))
     a, b = (members.select(F.col("id").alias(f"id_{x}"), F.col("class").alias(x)) for x in "ab")
-    different = class_pairs(sets).join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    different = class_pairs(texts, counts).join(a, "a").join(b, "b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
     same = a.join(b, F.col("a") == F.col("b")).where(F.col("id_a") < F.col("id_b")).select("id_a", "id_b")
     return different.unionAll(same)
 
@@ -275,8 +360,8 @@ def p3_groups(spark: SparkSession, data_dir: str) -> DataFrame:
 
     A group is a connected component of similar pages; class and group are named by their smallest id.
     """
-    members, sets = classes(page_sets(table(spark, data_dir, "wiki")))
-    pairs = settled(class_pairs(sets))
+    members, texts, counts = classes(table(spark, data_dir, "wiki"))
+    pairs = settled(class_pairs(texts, counts))
     links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
     groups = components(pairs).select(F.col("node").alias("class"), "component")
     rows = members.join(groups, "class", "left").join(links, "class", "left")

@@ -2,6 +2,8 @@ import datetime
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from lexshard.llm import neardup
 from tests.llm.conftest import NOW
@@ -47,23 +49,42 @@ def test_last_delivery_counts(spark, tables):
     assert sorted(tuple(r) for r in neardup.p3_found(spark, tables(wiki=rows)).collect()) == [(1, 2), (1, 3), (2, 3)]
 
 
+def sets_of(rows):
+    texts = [" ".join(f"w{x}" for x in r) for r in rows]
+    return neardup.Sets(pa.array([""] * len(texts)), pa.array(texts))
+
+
 def test_sketches_never_exceed_the_difference():
     draw = np.random.default_rng(2)
     for n in (1, 5, 100, 127, 128, 129, 1000):
-        base = np.unique(draw.integers(-(2**62), 2**62, n))
-        other = np.unique(np.concatenate([base[: int(n * 0.8)], draw.integers(-(2**62), 2**62, int(n * 0.15))]))
-        a, b = neardup.sketch(base), neardup.sketch(other)
+        base = np.unique(draw.integers(0, 2**62, n))
+        other = np.unique(np.concatenate([base[: int(n * 0.8)], draw.integers(0, 2**62, int(n * 0.15))]))
+        sets = sets_of([base, other])
+        assert sets.n.tolist() == [len(base), len(other)]
+        a, b = neardup.sketches(sets).to_pylist()
         width = min(len(a), len(b)) * 8
-        fold = lambda s: ((k := int.from_bytes(s, "little")) >> width) ^ (k & ((1 << width) - 1))
-        assert (fold(a) ^ fold(b)).bit_count() <= len(set(base) ^ set(other))
+        fold = lambda s: ((k := int.from_bytes(s, "little")) >> width) ^ (k & ((1 << width) - 1)) if len(s) * 8 > width else int.from_bytes(s, "little")
+        assert (fold(a) ^ fold(b)).bit_count() <= len(set(base.tolist()) ^ set(other.tolist()))
 
 
-def test_tree_finds_all_within_the_radius():
+@pytest.mark.parametrize("visits", [1 << 21, 50])
+def test_trees_find_all_within_the_radius(visits, monkeypatch):
+    monkeypatch.setattr(neardup, "VISITS", visits)
     pick = random.Random(4)
-    keys = [pick.getrandbits(64) for _ in range(300)]
-    keys += [k ^ (1 << pick.randrange(64)) ^ (1 << pick.randrange(64)) for k in keys[:100]] + keys[:20]
-    tree = neardup.Tree()
-    for i, k in enumerate(keys):
-        tree.add(k, (100, 100, i))
-    for k in keys[::10]:
-        assert sorted(tree.near(k, 100, 100, 8)) == [i for i, x in enumerate(keys) if (x ^ k).bit_count() <= 8]
+    keys = [pick.getrandbits(128) for _ in range(300)]
+    keys += [k ^ (1 << pick.randrange(128)) ^ (1 << pick.randrange(64)) for k in keys[:100]] + keys[:20]
+    lanes = [np.array([k >> s & (2**64 - 1) for k in keys], np.uint64) for s in (0, 64)]
+    of = np.repeat([3, 7, 9], 140)
+    trees = neardup.Trees(lanes, of)
+    asked = np.arange(0, len(keys), 10)
+    name = np.array([3, 7, 9, 5])[asked % 4]
+    got = {(q, x) for i, node, d in trees.near(lanes, asked, name, np.full(len(asked), 20)) for q, x in zip(i.tolist(), node.tolist())}
+    assert got == {(q, x) for q, t in zip(asked.tolist(), name.tolist()) for x in range(len(keys)) if of[x] == t and (keys[q] ^ keys[x]).bit_count() <= 20}
+    far = {(q, x) for i, node, d in trees.near(lanes, asked, name, np.full(len(asked), 60)) for q, x in zip(i.tolist(), node.tolist())}
+    assert far == {(q, x) for q, t in zip(asked.tolist(), name.tolist()) for x in range(len(keys)) if of[x] == t and (keys[q] ^ keys[x]).bit_count() <= 60}
+
+
+def test_pairs_are_compared_by_words():
+    a, b = ["a b c d e f g", "x", "a b", ""], ["A b c d é f g h i j", "y", "b a a", ""]
+    assert neardup.alike(pa.array(["", "", "t", ""]), pa.array(a), pa.array(["", "", "T", "t"]), pa.array(b)).tolist() == [True, False, True, False]
+    assert not neardup.alike(pa.array([""]), pa.array(["a b c d e f"]), pa.array([""]), pa.array(["a b c d e f g h i"])).any()
