@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshard.functions.words import coded, hashes, pieces, split_words
+from lexshard.functions.words import coded, distinct, hashes, mixed, pieces, split_words
 from lexshard.plans.sql import words_sql
 from lexshard.session import single, spread, table
 
@@ -37,14 +37,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PROBES = [np.uint64(k * int(_MIX) % (1 << 64)) for k in range(PROBES)]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _blocks(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return _mixed(first * _MIX + second)
+    return mixed(first * _MIX + second)
 
 
 def _runs(words: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -52,7 +46,7 @@ def _runs(words: np.ndarray, last: np.ndarray) -> np.ndarray:
     out = np.zeros(len(last), np.uint64)
     for k in range(RUN - 1, -1, -1):
         out = out * _MIX + words[last - k]
-    return _mixed(out)
+    return mixed(out)
 
 
 def _places(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,14 +77,14 @@ class Patterns:
             at = last - shift
             least[(_blocks(words[at - 1], words[at]) & np.uint64(slots - 1)).astype(np.int64)] = shift
         slot = np.flatnonzero(least < RUN - 1)
-        spots = np.unique(np.concatenate([Patterns._spot(_runs(words, last), k, bits) for k in range(PROBES)]))
+        spots = distinct(np.concatenate([Patterns._spot(_runs(words, last), k, bits) for k in range(PROBES)]))
         entry, starts = np.unique(spots >> np.uint64(6), return_index=True)
         held = np.bitwise_or.reduceat(np.uint64(1) << (spots & np.uint64(63)), starts) if len(spots) else np.empty(0, np.uint64)
         return slot, least[slot], entry.astype(np.int64), held
 
     @staticmethod
     def _spot(run: np.ndarray, k: int, bits: int) -> np.ndarray:
-        return _mixed(run + _PROBES[k]) & np.uint64(bits - 1)
+        return mixed(run + _PROBES[k]) & np.uint64(bits - 1)
 
     def search(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, place of the last word, hash) of every run that may be a pattern; text t is words[ends[t]:ends[t + 1]]."""
