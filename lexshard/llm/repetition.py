@@ -1,12 +1,13 @@
 """Problem 5: how much of a page's text repeats what the page has said before.
 
-The measure is exact: the share of runs of RUN successive words that equal an earlier run of the page. Ahead of it
-stands a classifier over hashed word and character n-grams: logistic regression, trained on labelled pages (the label
-is whether the share reaches the threshold, measured on a bounded sample), calibrated on held-out ones, and scored in
-Arrow batches. Its features are hashed n-gram frequencies, brought to unit length, and the shares of n-grams whose
-hash the page has shown before. Two things make it safe as a filter: a hashed run can only seem to repeat more than it
-does, never less; and the other features are bounded. So the least score that a page of the threshold can have
-follows from the weights, and no such page falls below it.
+The measure is exact: the share of runs of RUN successive words that equal an earlier run of the page. Only pages that
+a classifier finds possibly repetitive are measured: logistic regression over hashed word and character n-grams, trained
+on labelled pages (the label is whether the share reaches the threshold, measured on a bounded sample), calibrated on
+held-out ones, scored in Arrow batches against fixed thresholds of the probability.
+
+The features of a page are its hashed words and their character n-grams, as means over its words, and how many of its
+word n-grams fall into a slot of a table that an earlier one has taken. The former are linear, so a word's part in the
+score is worked out once per different word of a batch; the latter need no sorting. So scoring costs less than measuring.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexshard.functions.text import tokens
+from lexshard.functions.words import bytes_of, coded, hashes, mixed, pieces, split_words
 from lexshard.plans.sql import words_sql
-from lexshard.session import spread, table
+from lexshard.session import single, spread, table
 
 #: A page counts whose share of repeated runs of RUN words is at least 1/SHARE.
 RUN, SHARE = 5, 4
@@ -28,18 +29,19 @@ RUN, SHARE = 5, 4
 TRAIN_ROWS = 2000
 #: Pages are reported as repetitive from this calibrated probability on.
 PROBABLE = 0.5
-_BITS = 10
+#: Pages below this calibrated probability are not measured.
+POSSIBLE = 0.01
+#: Slots of the tables that tell repeated n-grams, for each n-gram of a page: the more, the less seems to repeat by chance.
+ROOM = 8
+_BITS = 8
 BAG = 1 << _BITS
-WORD_GRAMS, CHAR_GRAM = (1, 2, 3, RUN), 6
-SHARES = len(WORD_GRAMS) + 1
+WORD_GRAMS, CHAR_GRAMS = (2, RUN), (2, 3)
+SHARES = len(WORD_GRAMS)
+#: Penalties of the weights: the shares tell most and are let free.
+_RIDGE = np.append(np.full(BAG, 1.0), np.full(SHARES, 0.01))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
 def _distinct(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """How many different values each of n pages has."""
     if not len(of):
@@ -50,18 +52,11 @@ def _distinct(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(o[new], minlength=n)
 
 
-def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.StringArray, np.ndarray]:
-    """(page of each word, number of each word in the batch's dictionary, the words, ends)."""
-    offsets = words.offsets.to_numpy().astype(np.int64)
-    values = words.values.slice(offsets[0], offsets[-1] - offsets[0])
-    coded = values.dictionary_encode()
-    return np.repeat(np.arange(len(words)), np.diff(offsets)), coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.diff(offsets)
-
-
-def repeated_share(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def repeated_share(words: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """(runs, repeated runs) of each page, exactly: runs are numbered by doubling, so nothing is hashed."""
-    of, code, _, lengths = _flat(words)
-    n = len(words)
+    ends, code, _ = coded(words)
+    lengths, n = np.diff(ends), len(words)
+    of = np.repeat(np.arange(n), lengths)
 
     def joined(a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
         """Numbers of the runs of length, from those of its two overlapping parts a and b."""
@@ -77,49 +72,71 @@ def repeated_share(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return runs, runs - _distinct(of[: len(five)][inside], five[inside], n)
 
 
-def features(words: pa.Array) -> np.ndarray:
-    """Per page: BAG hashed n-gram weights of unit length, then the repeated shares of word and character n-grams."""
-    import xxhash
-
-    n = len(words)
-    of, code, dictionary, lengths = _flat(words)
-    names = dictionary.to_pylist()
-    hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in names), np.uint64, len(names))[code]
-    bag = np.zeros((n, BAG), np.float64)
-    shares = []
-
-    def add(page, h):
-        np.add.at(bag.reshape(-1), page * BAG + (h >> np.uint64(64 - _BITS)).astype(np.int64), 1.0)
-
-    gram = np.zeros(len(hashed), np.uint64)
-    for length in range(1, RUN + 1):
-        m = max(len(hashed) - length + 1, 0)
-        gram = gram[:m] * _MIX + hashed[length - 1 : length - 1 + m]
-        if length in WORD_GRAMS:
+class Grams:
+    """The n-grams of a batch of pages: what the classifier's features are made of."""
+
+    def __init__(self, words: pa.ListArray) -> None:
+        self.ends, self.code, names = coded(words)
+        self.lengths = np.diff(self.ends)
+        self.hashed = hashes(names).view(np.uint64)
+        raw, at = bytes_of(names)
+        chars, of = raw.astype(np.uint64), np.repeat(np.arange(len(names)), np.diff(at))
+        # the bag's slots of each different word: the word itself, then its character n-grams
+        slots, owner = [self.hashed], [np.arange(len(names))]
+        for length in CHAR_GRAMS:
+            m = max(len(chars) - length + 1, 0)
+            gram = np.full(m, length, np.uint64)
+            for k in range(length):
+                gram = gram * _MIX + chars[k : k + m]
             inside = of[:m] == of[length - 1 : length - 1 + m]
-            page, h = of[:m][inside], _mixed(gram[inside])
-            total = np.maximum(lengths - length + 1, 0)
-            shares.append(1 - _distinct(page, h, n) / np.maximum(total, 1) * (total > 0) - (total == 0))
-            if length <= 2:
-                add(page, h)
-    # characters: the words' bytes, page by page
-    sizes = np.fromiter(map(len, names), np.int64, len(names))[code]
-    chars = np.frombuffer("".join(map(names.__getitem__, code.tolist())).encode(), np.uint8).astype(np.uint64)
-    at = np.repeat(of, sizes)
-    gram = np.zeros(len(chars), np.uint64)
-    for length in range(1, CHAR_GRAM + 1):
-        m = max(len(chars) - length + 1, 0)
-        gram = gram[:m] * _MIX + chars[length - 1 : length - 1 + m] + np.uint64(1)
-        if length in (3, CHAR_GRAM):
-            inside = at[:m] == at[length - 1 : length - 1 + m]
-            page, h = at[:m][inside], _mixed(gram[inside])
-            if length == 3:
-                add(page, h)
-            else:
-                total = np.bincount(page, minlength=n)
-                shares.append(1 - _distinct(page, h, n) / np.maximum(total, 1) * (total > 0) - (total == 0))
-    norm = np.sqrt((bag**2).sum(1, keepdims=True))
-    return np.hstack([bag / np.maximum(norm, 1), np.stack(shares, 1)])
+            slots.append(mixed(gram[inside]))
+            owner.append(of[:m][inside])
+        self.slots = (np.concatenate(slots) >> np.uint64(64 - _BITS)).astype(np.int64)
+        self.owner = np.concatenate(owner)
+
+    def bags(self) -> np.ndarray:
+        """pages x BAG: hashed words and character n-grams, as means over a page's words; dense, for the training pages."""
+        out = np.zeros((len(self.lengths), BAG))
+        order = np.argsort(self.owner, kind="stable")
+        slots, starts = self.slots[order], np.searchsorted(self.owner[order], np.arange(len(self.hashed) + 1))
+        for page, (a, b) in enumerate(zip(self.ends[:-1], self.ends[1:])):
+            words, many = np.unique(self.code[a:b], return_counts=True)
+            for w, n in zip(words.tolist(), many.tolist()):
+                np.add.at(out[page], slots[starts[w] : starts[w + 1]], n)
+        return out / np.maximum(self.lengths, 1)[:, None]
+
+    def bag_scores(self, weights: np.ndarray) -> np.ndarray:
+        """bags() @ weights without the bags: a word's part is worked out once."""
+        value = np.bincount(self.owner, weights[self.slots], len(self.hashed))
+        total = np.append(0.0, np.cumsum(value[self.code]))
+        return (total[self.ends[1:]] - total[self.ends[:-1]]) / np.maximum(self.lengths, 1)
+
+    def shares(self) -> np.ndarray:
+        """pages x SHARES: of each length in WORD_GRAMS the share of n-grams whose slot an earlier one took.
+
+        Equal n-grams share a slot, so it is never below the true share.
+        """
+        hashed, out = self.hashed[self.code], np.zeros((len(self.lengths), SHARES))
+        gram = np.zeros(len(hashed), np.uint64)
+        for length in range(1, RUN + 1):
+            m = max(len(hashed) - length + 1, 0)
+            gram = gram[:m] * _MIX + hashed[length - 1 : length - 1 + m]
+            if length in WORD_GRAMS:
+                total = np.maximum(self.lengths - length + 1, 0)
+                bits = np.ceil(np.log2(np.maximum(total, 1) * ROOM)).astype(np.uint64)
+                first = np.append(0, np.cumsum(1 << bits.astype(np.int64)))
+                at = np.repeat(self.ends[:-1], total) + np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+                taken = np.zeros(first[-1], np.uint8)
+                taken[np.repeat(first[:-1], total) + (mixed(gram[at]) >> np.repeat(np.uint64(64) - bits, total)).astype(np.int64)] = 1
+                different = np.add.reduceat(taken, first[:-1], dtype=np.int64) if len(total) else total
+                out[:, WORD_GRAMS.index(length)] = np.where(total > 0, 1 - different / np.maximum(total, 1), 0)
+        return out
+
+
+def features(words: pa.ListArray) -> np.ndarray:
+    """Per page the BAG and the SHARES, for training."""
+    grams = Grams(words)
+    return np.hstack([grams.bags(), grams.shares()])
 
 
 @dataclass
@@ -130,37 +147,36 @@ class Classifier:
     bias: float
     scale: float
     shift: float
+    fitted: bool = True
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray) -> Classifier:
-        """Two thirds of the rows fit the weights, the last third calibrates them; one class only: all scores 0."""
-        if len(y) < 30 or not 3 <= y.sum() <= len(y) - 3:
-            return cls(np.zeros(BAG + SHARES), 0.0, 1.0, 0.0)
-        late = np.arange(len(y)) % 3 == 2
-        ridge = np.append(np.full(BAG, 1.0), np.full(SHARES, 1e-3))
-        w, b = _logistic(x[~late], y[~late], ridge)
-        score = x[late] @ w + b
-        two = _logistic(score[:, None], y[late], np.array([1e-2])) if 0 < y[late].sum() < late.sum() else (np.ones(1), 0.0)
-        return cls(w, b, max(float(two[0][0]), 1e-3), float(two[1]))
-
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.weights + self.bias
+        """Fitted on all rows; calibrated on scores that each row got from the other two thirds of the rows.
+
+        Calibration has the usual smoothed targets, so that few rows of a label don't make it sure of itself. Where
+        there is too little to learn from, or a row of the label falls below POSSIBLE when held out, nothing is fitted:
+        every page then has probability 1/2 and is measured.
+        """
+        none = cls(np.zeros(BAG + SHARES), 0.0, 1.0, 0.0, False)
+        part = np.arange(len(y)) % 3
+        if len(y) < 30 or any(min(y[part != k].sum(), (1 - y[part != k]).sum()) < 2 for k in range(3)):
+            return none
+        held_out = np.zeros(len(y))
+        for k in range(3):
+            w, b = _logistic(x[part != k], y[part != k], _RIDGE)
+            held_out[part == k] = x[part == k] @ w + b
+        yes, no = y.sum(), (1 - y).sum()
+        scale, shift = _logistic(held_out[:, None], np.where(y > 0, (yes + 1) / (yes + 2), 1 / (no + 2)), np.array([1e-2]))
+        w, b = _logistic(x, y, _RIDGE)
+        model = cls(w, b, max(float(scale[0]), 1e-3), float(shift))
+        return model if (model.probability(held_out)[y > 0] >= POSSIBLE).all() else none
+
+    def scores(self, grams: Grams) -> np.ndarray:
+        return grams.bag_scores(self.weights[:BAG]) + grams.shares() @ self.weights[BAG:] + self.bias
 
     def probability(self, score: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * score + self.shift, -700, 700)))
 
-    @property
-    def least(self) -> float:
-        """No page whose share of repeated runs is 1/SHARE or more scores below this.
-
-        The bag has unit length, so it gives at least minus the length of its weights. A share lies between 0 and
-        1, that of RUN words (hashed, so never below the true one) from 1/SHARE up; a linear term is least at an end.
-        """
-        bag, shares = self.weights[:BAG], self.weights[BAG:]
-        low = np.zeros(SHARES)
-        low[WORD_GRAMS.index(RUN)] = 1 / SHARE
-        return float(self.bias - np.sqrt((bag**2).sum()) + np.minimum(shares * low, shares).sum() - 1e-6)
-
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: np.ndarray) -> tuple[np.ndarray, float]:
     """Ridge-penalised logistic regression by Newton steps, halved where they overshoot."""
@@ -189,66 +205,70 @@ def deliveries(wiki: DataFrame) -> DataFrame:
     return spread(wiki.select(F.expr("try_cast(id AS bigint)").alias("id"), F.col("fetched_at").alias("seen"), "text").where(F.col("id").isNotNull()))
 
 
-def page_words(pages: DataFrame) -> DataFrame:
-    """(id, seen, words); null texts have no words."""
-    return pages.select("id", "seen", tokens(F.col("text")).alias("words"))
-
-
 def trained(pages: DataFrame) -> Classifier:
-    """Fitted on TRAIN_ROWS deliveries, those whose ids have the smallest hashes, as far as they have a run."""
+    """Fitted on at most TRAIN_ROWS deliveries, those with the smallest hashes of id and text, as far as they have a run."""
 
     def label(batches):
         for batch in batches:
-            runs, repeated = repeated_share(batch.column("words"))
-            x = features(batch.column("words")).astype(np.float32)
+            words = split_words(batch.column("text"))
+            runs, repeated = repeated_share(words)
+            x = features(words).astype(np.float32)[runs > 0]
             rows = pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), BAG + SHARES).cast(pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array((repeated * SHARE >= runs).astype(np.int32)), rows], ["y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array((repeated * SHARE >= runs)[runs > 0].astype(np.int32)), rows], ["y", "x"])
 
-    sample = pages.where(F.col("text").isNotNull()).orderBy(F.xxhash64("id"), "id", "seen", "text").limit(TRAIN_ROWS)
-    got = page_words(sample).where(F.size("words") >= RUN).mapInArrow(label, "y int, x array<float>").toArrow().combine_chunks()
+    texts = pages.where(F.col("text").isNotNull()).withColumn("place", F.xxhash64("id", "text"))
+    (many,) = single(pages.agg(F.count(F.lit(1))))
+    # a part of the places holds about twice the rows wanted: the sort sees few
+    some = texts.where(F.pmod("place", F.lit(max(many // (2 * TRAIN_ROWS), 1))) == 0)
+    got = some.orderBy("place", "id", "seen").limit(TRAIN_ROWS).mapInArrow(label, "y int, x array<float>").toArrow().combine_chunks()
     x = got.column("x").combine_chunks()
     flat = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy().reshape(-1, BAG + SHARES) if got.num_rows else np.empty((0, BAG + SHARES))
     return Classifier.fit(flat.astype(np.float64), got.column("y").to_numpy().astype(np.float64))
 
 
-def measured(wiki: DataFrame) -> DataFrame:
-    """(id, runs, repeated, probability, candidate): one row per page, as its last delivery has it.
-
-    A page with fewer than RUN words has no runs; an empty table gives no rows.
-    """
-    pages = deliveries(wiki)
-    shared = pages.sparkSession.sparkContext.broadcast(trained(pages))
+def last_of(pages: DataFrame, measure, columns: str) -> DataFrame:
+    """(id, columns): one row per page, as its last delivery has it; measure maps the words of a batch to the columns."""
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                words = part.column("words")
-                score = model.scores(features(words))
-                runs, repeated = repeated_share(words)
-                cols = [part.column("id"), part.column("seen"), pa.array(runs), pa.array(repeated), pa.array(model.probability(score)), pa.array(score >= model.least)]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "seen", "runs", "repeated", "probability", "candidate"])
+            for part in pieces(batch, "text"):
+                values = measure(split_words(part.column("text")))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("seen"), *map(pa.array, values)], ["id", "seen", *names])
 
-    rows = page_words(pages).mapInArrow(run, "id long, seen timestamp, runs long, repeated long, probability double, candidate boolean")
-    last = F.max(F.struct("seen", "runs", "repeated", "probability", "candidate")).alias("x")
-    return rows.groupBy("id").agg(last).select("id", "x.runs", "x.repeated", "x.probability", "x.candidate")
+    names = [c.split()[0] for c in columns.split(", ")]
+    rows = pages.mapInArrow(run, f"id long, seen timestamp, {columns}")
+    return rows.groupBy("id").agg(F.max(F.struct("seen", *names)).alias("x")).select("id", *(f"x.{c}" for c in names))
 
 
 def p5_found(spark: SparkSession, data_dir: str) -> DataFrame:
-    """(id): the classifier's candidates whose share of repeated runs is at least 1/4, by the exact count."""
-    rows = measured(table(spark, data_dir, "wiki"))
-    return rows.where(F.col("candidate") & (F.col("runs") > 0) & (F.col("repeated") * SHARE >= F.col("runs"))).select("id")
+    """(id): the pages whose share of repeated runs is at least 1/4: measured where the classifier finds that possible.
+
+    A page with fewer than RUN words has no runs and is not found; an empty table gives no rows.
+    """
+    pages = deliveries(table(spark, data_dir, "wiki"))
+    shared = spark.sparkContext.broadcast(trained(pages))
+
+    def measure(words):
+        model, found = shared.value, np.zeros(len(words), bool)
+        at = np.flatnonzero(model.probability(model.scores(Grams(words))) >= POSSIBLE) if model.fitted else np.arange(len(words))
+        runs, repeated = repeated_share(words.take(pa.array(at)))
+        found[at] = (runs > 0) & (repeated * SHARE >= runs)
+        return (found,)
+
+    return last_of(pages, measure, "found boolean").where("found").select("id")
 
 
 def p5_shares(spark: SparkSession, data_dir: str) -> DataFrame:
     """(id, runs, repeated): the measure itself for every page."""
-    return measured(table(spark, data_dir, "wiki")).select("id", "runs", "repeated")
+    return last_of(deliveries(table(spark, data_dir, "wiki")), repeated_share, "runs long, repeated long")
 
 
 def p5_quality(spark: SparkSession, data_dir: str) -> DataFrame:
     """(id, probability, repetitive): the calibrated judgement of the classifier for every page."""
-    return measured(table(spark, data_dir, "wiki")).select("id", "probability", (F.col("probability") >= PROBABLE).alias("repetitive"))
+    pages = deliveries(table(spark, data_dir, "wiki"))
+    shared = spark.sparkContext.broadcast(trained(pages))
+    judged = last_of(pages, lambda words: (shared.value.probability(shared.value.scores(Grams(words))),), "probability double")
+    return judged.withColumn("repetitive", F.col("probability") >= PROBABLE)
 
 
 QUERIES = {"p5_found": p5_found, "p5_shares": p5_shares, "p5_quality": p5_quality}
