@@ -87,15 +87,16 @@ def split_words(texts: pa.Array) -> pa.ListArray:
     return both.take(pa.array(place))
 
 
-def pieces(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about PIECE bytes of text, a single long text being a slice of its own."""
+def pieces(batch: pa.RecordBatch, text: str, room: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about room (or PIECE) bytes of text, a single long text being a slice of its own."""
+    room = room or PIECE
     if not batch.num_rows:
         return
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         done = size[start - 1] if start else 0
-        stop = max(int(np.searchsorted(size, done + PIECE, "right")), start + 1)
+        stop = max(int(np.searchsorted(size, done + room, "right")), start + 1)
         yield batch.slice(start, stop - start)
         start = stop
 
