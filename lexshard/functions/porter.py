@@ -103,6 +103,11 @@ def stem(word: str) -> str:
     return _final(_derived(_replaced(_replaced(w, STEP2), STEP3)))
 
 
+def stems(words: list[str]) -> list[str]:
+    """Of different words."""
+    return list(map(stem, words))
+
+
 def _stemmed(values: pa.Array) -> pa.Array:
     """Each different word of a batch is stemmed once (and remembered by the worker), whatever its count."""
     coded = values.dictionary_encode()

@@ -63,8 +63,8 @@ def _ascii() -> np.ndarray:
     return table
 
 
-def split_words(texts: pa.Array) -> pa.ListArray:
-    """list<string> of the words of each text, in order; none for a null text."""
+def split_words(texts: pa.Array, fold: bool = True) -> pa.ListArray:
+    """list<string> of the words of each text, in order; none for a null text. Without fold accents are kept, and separate words."""
     texts = pc.fill_null(texts, "")
     raw, ends = bytes_of(texts)
     high = np.flatnonzero(raw >= 0x80)
@@ -72,8 +72,10 @@ def split_words(texts: pa.Array) -> pa.ListArray:
         return _cut(_ascii()[raw], ends)
     other = distinct(np.searchsorted(ends, high, "right") - 1)
     plain = np.setdiff1d(np.arange(len(texts)), other)
-    folded = [unicodedata.normalize("NFKD", t.lower()) for t in texts.take(pa.array(other)).to_pylist()]
+    folded = [unicodedata.normalize("NFKD", t.lower()) if fold else t.lower() for t in texts.take(pa.array(other)).to_pylist()]
     kinds = _kinds()[np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if not fold:
+        kinds[kinds == _GONE] = 0
     stays = kinds != _GONE
     gone = np.flatnonzero(~stays)
     at = np.cumsum([0, *map(len, folded)])

@@ -9,51 +9,75 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lexshard.functions.analyzer import DEFAULT, Analyzer
-from lexshard.session import settled, spread
+from lexshard.functions.analyzer import DEFAULT, STOPWORDS, Analyzer
+from lexshard.functions.porter import stems
+from lexshard.functions.words import coded, pieces, split_words
+from lexshard.session import settled, spread, unsettled
 
-_POSTING = T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])
+_POSTINGS = "array<struct<term string, tf int, positions array<int>>>"
+
+
+def analysed(texts: pa.Array, analyzer: Analyzer) -> tuple[pa.ListArray, np.ndarray]:
+    """(postings of each text: terms with their positions, lengths). All of a document is in one row, so nothing is shuffled.
+
+    Stop words and stems are found once per different word of a batch; positions are those of the raw words.
+    """
+    words = split_words(texts, analyzer.do_fold_accents)
+    ends, code, names = coded(words)
+    n = len(texts)
+    of = np.repeat(np.arange(n), np.diff(ends))
+    pos = np.arange(len(code)) - ends[of]
+    listed = names.to_pylist()
+    if analyzer.remove_stopwords:
+        kept = ~np.isin(code, [i for i, w in enumerate(listed) if w in _STOP])
+        of, pos, code = of[kept], pos[kept], code[kept]
+    lengths = np.bincount(of, minlength=n)
+    if analyzer.do_stem:
+        merged = pa.array(stems(listed), pa.string()).dictionary_encode()
+        code, names = merged.indices.to_numpy().astype(np.int64)[code], merged.dictionary
+    keys = of * max(len(names), 1) + code
+    order = np.argsort(keys, kind="stable")  # positions stay in order
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    row = of[order[starts]]
+    bounds = np.append(starts, len(keys)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(pos[order].astype(np.int32)))
+    parts = [names.take(pa.array(code[order[starts]])), pa.array(np.diff(bounds)), lists]
+    rows = pa.StructArray.from_arrays(parts, fields=[pa.field("term", pa.string()), pa.field("tf", pa.int32()), pa.field("positions", pa.list_(pa.int32()))])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), rows), lengths
+
+
+_STOP = frozenset(STOPWORDS)
 
 
 def analyzed(documents: DataFrame, analyzer: Analyzer = DEFAULT) -> DataFrame:
-    """(doc_id, title, url, terms, positions, length) from (doc_id, title, url, body).
+    """(doc_id, title, url, length, postings) from (doc_id, title, url, body).
 
     Bodies that are null or blank form no document; null titles and urls become empty.
     """
-    rows = documents.where(F.col("body").rlike("(?U)\\S")).select("doc_id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), "body")
-    found = spread(rows).select("doc_id", "title", "url", analyzer.occurrences(F.col("body")).alias("found"))
-    return found.select("doc_id", "title", "url", analyzer.terms_of(F.col("found")).alias("terms"), F.col("found.pos").alias("positions"), F.size("found").alias("length"))
-
-
-@F.arrow_udf(T.ArrayType(_POSTING))
-def _grouped(terms: pa.Array, positions: pa.Array) -> pa.Array:
-    """Of each document its postings: terms with their positions. All of a document is in one row, so nothing is shuffled."""
-    offsets = terms.offsets.to_numpy().astype(np.int64)
-    coded = terms.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-    code = coded.indices.to_numpy().astype(np.int64)
-    of = np.repeat(np.arange(len(terms)), np.diff(offsets))
-    at = positions.offsets.to_numpy().astype(np.int64)
-    pos = positions.values.to_numpy()[at[0] : at[-1]]
-    order = np.lexsort((pos, code, of))
-    of, code, pos = of[order], code[order], pos[order]
-    starts = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (code[1:] != code[:-1]))) if len(of) else np.empty(0, np.int64)
-    ends = np.append(starts[1:], len(of)) if len(starts) else starts
-    lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(of)).astype(np.int32)), pa.array(pos.astype(np.int32)))
-    rows = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(code[starts])), pa.array((ends - starts).astype(np.int32)), lists], fields=[pa.field("term", pa.string()), pa.field("tf", pa.int32()), pa.field("positions", pa.list_(pa.int32()))])
-    per = np.bincount(of[starts], minlength=len(terms)) if len(starts) else np.zeros(len(terms), np.int64)
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per)).astype(np.int32)), rows)
+    rows = documents.where(F.col("body").rlike("(?U)\\S")).select(F.col("doc_id").cast("long"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("url", F.lit("")).alias("url"), "body")
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "body"):
+                found, lengths = analysed(part.column("body"), analyzer)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(lengths.astype(np.int32)), found], ["doc_id", "title", "url", "length", "postings"])
+
+    return spread(rows).mapInArrow(run, f"doc_id long, title string, url string, length int, postings {_POSTINGS}")
 
 
 def postings_of(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf, positions) from analyzed documents; one row per term and document, ids being unique."""
-    return docs.select("doc_id", F.explode(_grouped("terms", "positions")).alias("p")).select("p.term", "doc_id", "p.tf", "p.positions")
+    """(term, doc_id, tf, positions, length) from analyzed documents; one row per term and document, ids being unique.
+
+    length is the document's: scores need it, and so no join with docstats.
+    """
+    return docs.select("doc_id", "length", F.explode("postings").alias("p")).select("p.term", "doc_id", "p.tf", "p.positions", "length")
 
 
 @dataclass
 class Index:
-    """Handle of an index: postings (term, doc_id, tf, positions), dictionary (term, df, cf), docstats (doc_id, title, url, length)."""
+    """Handle of an index: postings (term, doc_id, tf, positions, length), dictionary (term, df, cf), docstats (doc_id, title, url, length)."""
 
     postings: DataFrame
     dictionary: DataFrame
@@ -108,18 +132,25 @@ def corpus_stats(docstats: DataFrame) -> DataFrame:
     return docstats.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_length"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("avgdl"))
 
 
-def build_index(documents: DataFrame, analyzer: Analyzer = DEFAULT) -> Index:
-    """The index of (doc_id, title, url, body), lazily; its parts share nothing but the scan, so save it or persist postings."""
-    docs = analyzed(documents, analyzer)
+def _index_of(docs: DataFrame, analyzer: Analyzer) -> Index:
     postings = postings_of(docs)
     return Index(postings, dictionary_of(postings), docs.select("doc_id", "title", "url", "length"), analyzer)
 
 
+def build_index(documents: DataFrame, analyzer: Analyzer = DEFAULT, keep: bool = False) -> Index:
+    """The index of (doc_id, title, url, body), lazily; its parts share nothing but the scan.
+
+    For more than one job over it, keep writes the analyzed documents to the shared folder, so texts are analyzed once.
+    """
+    docs = analyzed(documents, analyzer)
+    return _index_of(settled(docs) if keep else docs, analyzer)
+
+
 def build_saved(documents: DataFrame, path: str, analyzer: Analyzer = DEFAULT) -> Index:
     """Builds, saves and opens: the texts are analyzed once, and what comes of them is read for postings and docstats."""
     docs = settled(analyzed(documents, analyzer))
-    postings = postings_of(docs)
-    Index(postings, dictionary_of(postings), docs.select("doc_id", "title", "url", "length"), analyzer).save(path)
+    _index_of(docs, analyzer).save(path)
+    unsettled(docs)
     return open_index(documents.sparkSession, path)
 
 

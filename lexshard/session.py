@@ -48,14 +48,41 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+#: Folders written by settled in this process and not yet removed.
+_SETTLED: set[str] = set()
+
+
 def settled(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The rows, written once to the shared folder and read back: lineage ends, a lost executor loses nothing."""
+    """The rows, written once to the shared folder and read back: lineage ends, a lost executor loses nothing.
+
+    The folder is removed by unsettled, or clear_settled when all that reads it is done.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"settled-{uuid.uuid4().hex}")
     (df.select(*columns) if columns else df).write.option("compression", "zstd").parquet(path)
+    _SETTLED.add(path)
     return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _SETTLED.discard(path)
+
+
+def unsettled(df: DataFrame) -> None:
+    """Removes what settled wrote; df, and all that comes of it, can't be read any more."""
+    for path in {os.path.dirname(f) for f in df.inputFiles()}:
+        for mine in [p for p in _SETTLED if os.path.basename(p) == os.path.basename(path)]:
+            _remove(df.sparkSession, mine)
+
+
+def clear_settled(spark: SparkSession) -> None:
+    """Removes all that settled wrote in this process; call it when no result is to be read any more."""
+    for path in list(_SETTLED):
+        _remove(spark, path)
+
+
 def single(df: DataFrame) -> tuple:
     """The values of an aggregate without grouping: one row, whatever the size of the input."""
     return tuple(df.first())

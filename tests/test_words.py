@@ -23,6 +23,12 @@ def test_any_texts_split_as_defined(texts):
     assert words.split_words(pa.array(texts, pa.string())).to_pylist() == [words_of(t) for t in texts]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(st.characters(exclude_categories=("Cs",)), max_size=20), st.text("abZ9 é-́", max_size=20)), max_size=8))
+def test_words_without_folding(texts):
+    assert words.split_words(pa.array(texts, pa.string()), fold=False).to_pylist() == [words_of(t, fold=False) for t in texts]
+
+
 def test_pieces_hold_all_rows_in_order(monkeypatch):
     monkeypatch.setattr(words, "PIECE", 10)
     texts = ["a" * n for n in (0, 3, 8, 25, 1, 1, 9, 2)] + [None]
