@@ -28,11 +28,13 @@ def build(args: argparse.Namespace) -> list[str]:
     else:
         docs = synthetic_corpus(spark, args.synthetic or DEFAULT_SYNTHETIC).drop("topic")
     meta = build_saved(docs, args.out).meta
+    # The lines of the report.
     return ["Done. Index meta:", *(f"  {k}: {v}" for k, v in sorted(meta.items()))]
 
 
 def _listed(index: Index, ids: DataFrame, k: int) -> list[str]:
     """The first k by doc_id, with title and address."""
+    # The format of the lines, here and in search.
     rows = ids.orderBy("doc_id").limit(k).join(index.docstats, "doc_id").orderBy("doc_id").collect()
     return [f"{i:2d}. {r.title}  ({r.url})" for i, r in enumerate(rows, 1)] or ["(no matches)"]
 
@@ -49,6 +51,7 @@ def search(args: argparse.Namespace) -> list[str]:
 
 
 def parser() -> argparse.ArgumentParser:
+    # The names and defaults of the options.
     top = argparse.ArgumentParser(prog="lexshard")
     commands = top.add_subparsers(dest="command", required=True)
     b = commands.add_parser("build", help="build an index")

@@ -32,9 +32,14 @@ def vbyte_hex(n: Column) -> Column:
     return F.when(n < 0, F.raise_error(F.lit("only numbers from 0 up have a code")).cast("string")).otherwise(F.lower(out))
 
 
+def vbyte_digits(numbers: Column) -> Column:
+    """The codes of an array of numbers, one after the other, in hexadecimal digits."""
+    return F.array_join(F.transform(numbers.cast("array<bigint>"), vbyte_hex), "")
+
+
 def vbyte_encode(numbers: Column) -> Column:
     """The codes of an array of numbers, one after the other; empty for an empty array."""
-    return F.unhex(F.array_join(F.transform(numbers.cast("array<bigint>"), vbyte_hex), ""))
+    return F.unhex(vbyte_digits(numbers))
 
 
 def decoded(data: np.ndarray) -> np.ndarray:
@@ -66,6 +71,16 @@ def decode_stream(data: bytes, pos: int, count: int) -> tuple[list[int], int]:
     return decoded(view[:stop]).tolist(), pos + stop
 
 
+_STREAM = T.StructType([T.StructField("numbers", T.ArrayType(T.LongType())), T.StructField("next", T.IntegerType())])
+
+
+@F.arrow_udf(_STREAM)
+def vbyte_decode_stream(data: pa.Array, pos: pa.Array, count: pa.Array) -> pa.Array:
+    """decode_stream for columns: (numbers, where the next begins); null where an argument is; an error if bytes are missing."""
+    rows = [None if None in r else dict(zip(("numbers", "next"), decode_stream(*r))) for r in zip(data.to_pylist(), pos.to_pylist(), count.to_pylist())]
+    return pa.array(rows, pa.struct([("numbers", pa.list_(pa.int64())), ("next", pa.int32())]))
+
+
 def gap_encode(numbers: Column) -> Column:
     """The first number, then the distances."""
     return F.transform(numbers, lambda x, i: x - F.when(i > 0, F.get(numbers, i - 1)).otherwise(0))
@@ -105,6 +120,48 @@ def docs_from_gaps(gaps: DataFrame) -> DataFrame:
     return rows.withColumn("decoded", F.col("before") + F.sum("gap").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("range", "before")
 
 
+def encoded_postings(postings: DataFrame) -> DataFrame:
+    """(term, range, base, n, code): the posting lists in bytes, cut where RANGE ids are full, so that no list fills a task.
+
+    Per posting the gap of doc_id, tf, the number of positions and their gaps. base is the id before the range (0 at the
+    start), where reading may begin; the codes of a term's ranges after each other are its whole list.
+    """
+    rows, w = _carried(postings, F.col("doc_id"), F.max)
+    gap = F.col("doc_id") - F.coalesce(F.lag("doc_id").over(w), F.col("before"))
+    numbers = F.concat(F.array(gap, F.col("tf").cast("long"), F.size("positions").cast("long")), gap_encode(F.col("positions")).cast("array<bigint>"))
+    coded = rows.select("term", "range", "before", "doc_id", vbyte_digits(numbers).alias("digits"))
+    lists = coded.groupBy("term", "range").agg(F.first("before").alias("base"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("doc_id", "digits"))).alias("l"))
+    return lists.select("term", "range", "base", "n", F.unhex(F.array_join("l.digits", "")).alias("code"))
+
+
+def _postings_in(code: bytes, base: int) -> tuple[list[int], list[int], list[np.ndarray]]:
+    numbers = decoded(np.frombuffer(code, np.uint8))
+    ids, tfs, positions, i, doc = [], [], [], 0, base
+    while i < len(numbers):
+        gap, tf, many = numbers[i : i + 3].tolist()
+        doc += gap
+        ids.append(doc)
+        tfs.append(tf)
+        positions.append(np.cumsum(numbers[i + 3 : i + 3 + many]))
+        i += 3 + many
+    return ids, tfs, positions
+
+
+def decoded_postings(lists: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, positions) from encoded lists; each range is read alone."""
+
+    def run(batches):
+        for batch in batches:
+            for term, base, code in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                ids, tfs, positions = _postings_in(code, base)
+                ends = np.cumsum([0, *map(len, positions)]).astype(np.int32)
+                flat = pa.array(np.concatenate([np.empty(0, np.int64), *positions]).astype(np.int32))
+                cols = [pa.array([term.as_py()] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(tfs, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), flat)]
+                yield pa.RecordBatch.from_arrays(cols, ["term", "doc_id", "tf", "positions"])
+
+    return lists.select("term", F.col("base").cast("long"), "code").mapInArrow(run, "term string, doc_id long, tf int, positions array<int>")
+
+
 def position_bytes(positions: Column) -> Column:
     return F.aggregate(gap_encode(positions), F.lit(0), lambda acc, g: acc + vbyte_length(g))
 

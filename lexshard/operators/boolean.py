@@ -7,7 +7,7 @@ however many operators a query has, it is one scan of its terms' postings and on
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -126,6 +126,42 @@ def boolean_search(index: Index, query: str) -> DataFrame:
     return marked.where(found).select("doc_id").orderBy("doc_id")
 
 
+def _shape(node: Node, number: dict[str, int]) -> Node:
+    """The tree with the numbers of its terms instead of the terms."""
+    if isinstance(node, Term):
+        return node if node.term is None else Term(str(number[node.term]))
+    return Op(node.kind, tuple(_shape(a, number) for a in node.args))
+
+
+def boolean_batch(index: Index, queries: Sequence[tuple[int, str]]) -> DataFrame:
+    """(query_id, doc_id) of many queries in one job, as boolean_search finds them.
+
+    Queries of the same shape are one predicate. Those that documents without any of their terms satisfy see all
+    documents, once each, as their result does.
+    """
+    spark, number_of, rows, every = index.postings.sparkSession, {}, [], []
+    for q, text in queries:
+        tree = parse(text, index.analyzer.terms)
+        number = {t: i for i, t in enumerate(terms_in(tree))}
+        kind = number_of.setdefault(_shape(tree, number), len(number_of))
+        rows += [(q, kind, i, t) for t, i in number.items()]
+        if holds_without_terms(tree):
+            every.append((q, kind))
+    asked = F.broadcast(spark.createDataFrame(rows, "query_id long, kind int, ordinal int, term string"))
+    hits = index.postings.where(F.col("term").isin(sorted({t for *_, t in rows}))).select("term", "doc_id").join(asked, "term")
+    width = max((i for _, _, i, _ in rows), default=0) + 1
+    flags = [F.max(F.col("ordinal") == i).alias(f"has_{i}") for i in range(width)]
+    marked = hits.groupBy("query_id", "kind", "doc_id").agg(*flags)
+    if every:
+        ids = F.explode(F.array(*(F.struct(F.lit(q).cast("long").alias("query_id"), F.lit(k).alias("kind")) for q, k in every)))
+        rest = index.all_doc_ids().select(ids.alias("q"), "doc_id").select("q.query_id", "q.kind", "doc_id", *(F.lit(False).alias(f"has_{i}") for i in range(width)))
+        marked = marked.unionAll(rest).groupBy("query_id", "kind", "doc_id").agg(*(F.max(f"has_{i}").alias(f"has_{i}") for i in range(width)))
+    found = F.lit(False)
+    for shape, kind in number_of.items():
+        found = F.when(F.col("kind") == kind, condition(shape, lambda i: F.col(f"has_{i}"))).otherwise(found)
+    return marked.where(found).select("query_id", "doc_id")
+
+
 # The same algebra over sets of documents, one operator at a time.
 
 

@@ -169,3 +169,9 @@ def build_meta(index: Index) -> DataFrame:
     size = encoded_postings_bytes(index.postings)
     terms = index.dictionary.agg(F.count(F.lit(1)))
     return stats.select("n_docs", terms.scalar().alias("n_terms"), "avgdl", size.scalar().alias("postings_bytes"))
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Of all files of a folder, at any depth."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()

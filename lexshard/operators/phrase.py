@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,31 +14,57 @@ def _moved(positions: Column, offset: int) -> Column:
     return F.transform(positions, lambda p: p - offset)
 
 
+def _offsets(index: Index, phrase: str, strict_gaps: bool = False) -> dict[str, list[int]]:
+    """How far after the first term each term of a phrase must stand."""
+    found = index.analyzer.analyze(phrase)
+    offsets: dict[str, list[int]] = {}
+    for i, (term, pos) in enumerate(found):
+        offsets.setdefault(term, []).append(pos - found[0][1] if strict_gaps else i)
+    return offsets
+
+
 def phrase_search(index: Index, phrase: str, strict_gaps: bool = False) -> DataFrame:
     """(doc_id) of the documents that hold the terms of the phrase at successive positions, in order of doc_id.
 
     The i-th term that is left of the phrase must stand i places after the first: stop words dropped from the phrase
     close their gap there, while documents keep theirs. strict_gaps keeps the gaps of the phrase too. A phrase of no
-    terms finds nothing, one of one term all its documents. Repeated terms are allowed.
+    terms finds nothing, one of one term all its documents. Repeated terms are allowed. The documents that hold all
+    terms are found first, by their ids alone; positions are read for those only.
     """
-    found = index.analyzer.analyze(phrase)
-    offsets: dict[str, list[int]] = {}
-    for i, (term, pos) in enumerate(found):
-        offsets.setdefault(term, []).append(pos - found[0][1] if strict_gaps else i)
-    if not found:
+    offsets = _offsets(index, phrase, strict_gaps)
+    if not offsets:
         return index.postings.where(F.lit(False)).select("doc_id")
     rows = index.postings.where(F.col("term").isin(list(offsets)))
-    if len(found) == 1:
+    if list(map(len, offsets.values())) == [1]:
         return rows.select("doc_id").distinct().orderBy("doc_id")
-    # documents that lack a term can't match: dropped before positions are unfolded
-    complete = rows.groupBy("doc_id").agg(F.collect_list(F.struct("term", "positions")).alias("lists"))
-    complete = complete.where(F.size("lists") == len(offsets))
-    lists = F.map_from_entries("lists")
-    starts = [_moved(lists[term], o) for term, os in offsets.items() for o in os]
+    if len(offsets) > 1:
+        complete = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(offsets)).select("doc_id")
+        rows = rows.join(complete, "doc_id", "left_semi")
+    lists = F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("lists")
+    starts = [_moved(F.col("lists")[term], o) for term, os in offsets.items() for o in os]
     common = starts[0]
     for s in starts[1:]:
         common = F.array_intersect(common, s)
-    return complete.where(F.size(common) > 0).select("doc_id").orderBy("doc_id")
+    return rows.groupBy("doc_id").agg(lists).where(F.size(common) > 0).select("doc_id").orderBy("doc_id")
+
+
+def phrase_batch(index: Index, phrases: Sequence[tuple[int, str]]) -> DataFrame:
+    """(query_id, doc_id) of many phrases in one job, as phrase_search finds them.
+
+    Every posting of a phrase's terms is brought to the places where the phrase would begin, all its terms of a
+    document and phrase come together, and what all places have in common is left.
+    """
+    spark = index.postings.sparkSession
+    wanted = [(q, t, os, len(offsets)) for q, text in phrases for offsets in [_offsets(index, text)] for t, os in offsets.items()]
+    asked = F.broadcast(spark.createDataFrame(wanted, "query_id long, term string, offsets array<int>, terms int"))
+    rows = index.postings.where(F.col("term").isin(sorted({t for _, t, _, _ in wanted}))).join(asked, "term")
+    complete = rows.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms")).where(F.col("n") == F.col("terms"))
+    first = _moved(F.col("positions"), F.col("offsets")[0])
+    begins = F.aggregate(F.slice("offsets", 2, 1 << 30), first, lambda a, o: F.array_intersect(a, _moved(F.col("positions"), o)))
+    places = rows.join(complete.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "terms", begins.alias("begins"))
+    lists = places.groupBy("query_id", "doc_id").agg(F.collect_list("begins").alias("lists"))
+    common = F.aggregate(F.slice("lists", 2, 1 << 30), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
+    return lists.where(F.size(common) > 0).select("query_id", "doc_id")
 
 
 def phrase_by_anchors(index: Index, phrase: str) -> DataFrame:

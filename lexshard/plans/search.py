@@ -10,18 +10,23 @@ from lexshard.functions.analyzer import DEFAULT, FOLDED, RAW, STOPWORDS, UNSTEMM
 from lexshard.functions.porter import stem_word
 from lexshard.functions.text import tokens
 from lexshard.operators import boolean, metrics, phrase, rank
-from lexshard.operators.index import Index, analyzed, build_index, build_meta, corpus_stats, postings_of
+from lexshard.operators.index import Index, build_index, build_meta, build_saved, corpus_stats, open_index
 from lexshard.plans.porter_sql import porter_sql
 from lexshard.plans.sql import quoted, words_sql
-from lexshard.session import table
+from lexshard.session import shared_path, table
 from lexshard.sources import corpus
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def _index(spark: SparkSession, data_dir: str, analyzer: Analyzer = UNSTEMMED) -> Index:
-    return build_index(corpus.documents(spark, data_dir), analyzer)
+def _index(spark: SparkSession, data_dir: str, analyzer: Analyzer = UNSTEMMED, keep: bool = False) -> Index:
+    return build_index(corpus.documents(spark, data_dir), analyzer, keep)
+
+
+def _kept(spark: SparkSession, data_dir: str, analyzer: Analyzer = UNSTEMMED) -> Index:
+    """For several jobs over one index."""
+    return _index(spark, data_dir, analyzer, True)
 
 
 def query(sql: str | None = None):
@@ -100,12 +105,12 @@ def _joined(positions) -> "F.Column":
 
 @query(f"{_PLAIN} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post")
 def postings_build(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _index(spark, data_dir).postings.withColumn("positions", _joined(F.col("positions")))
+    return _index(spark, data_dir).postings.drop("length").withColumn("positions", _joined(F.col("positions")))
 
 
 @query(f"{_STEMMED} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post")
 def postings_build_stemmed(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _index(spark, data_dir, DEFAULT).postings.withColumn("positions", _joined(F.col("positions")))
+    return _index(spark, data_dir, DEFAULT).postings.drop("length").withColumn("positions", _joined(F.col("positions")))
 
 
 @query(f"{_PLAIN} SELECT term, df, cf FROM dict")
@@ -170,6 +175,19 @@ def bool_by_operators(spark: SparkSession, data_dir: str) -> DataFrame:
     return boolean.by_operators(index, boolean.parse("(wooden OR harbour) AND village AND NOT summer", index.analyzer.terms))
 
 
+_BOTH = [(1, "wooden AND village"), (2, "harbour OR chime"), (3, "NOT wooden"), (4, "wooden AND (harbour OR village) NOT summer"), (5, "summer AND village"), (6, "one AND old"), (7, "unknownword AND old"), (8, "la AND esta")]
+_BOTH_SQL = [
+    f"{_has('wooden')} AND {_has('village')}", f"{_has('harbour')} OR {_has('chime')}", f"NOT {_has('wooden')}", f"{_has('wooden')} AND ({_has('harbour')} OR {_has('village')}) AND NOT {_has('summer')}",
+    f"{_has('summer')} AND {_has('village')}", f"{_has('one')} AND {_has('old')}", "false", f"{_has('la')} AND {_has('esta')}",
+]
+
+
+@query(f"{_PLAIN} " + " UNION ALL ".join(f"SELECT {q}::BIGINT AS query_id, doc_id FROM docs WHERE {c}" for (q, _), c in zip(_BOTH, _BOTH_SQL)))
+def boolean_batch(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Several boolean queries in one job."""
+    return boolean.boolean_batch(_index(spark, data_dir), _BOTH)
+
+
 # ---- phrases
 
 
@@ -193,10 +211,26 @@ _phrase("phrase_4_raw", "is the name of", ["is", "the", "name", "of"], analyzer=
 _phrase("phrase_anchors", "is the name of a", ["is", "the", "name", "of", "a"], phrase.phrase_by_anchors, FOLDED, _FOLDED_SQL)
 _phrase("phrase_repeated_term", "called it a cliché and a", ["called", "it", "a", "cliche", "and", "a"], analyzer=FOLDED, prefix=_FOLDED_SQL)
 _phrase("phrase_stopword_gap", "lost and the near", ["lost", "near"])
-_phrase("phrase_stopword_gap_in_text", "pages without a picture", ["pages", "without", "picture"])
+_phrase("phrase_stopword_gap_in_text", "esta na", ["esta", "na"])  # some documents have a stop word between the two
 _phrase("phrase_stemmed", "visitor remembering", ["visitor", "rememb"], analyzer=DEFAULT, prefix=_STEMMED)
 
 
+_PHRASES = [(1, "lost near"), (2, "esta na"), (3, "harbour"), (4, "one late"), (5, "near lost"), (6, "lost and the near"), (7, "la unica"), (8, "unknownword near")]
+
+
+def _phrases_sql() -> str:
+    parts = []
+    for q, text in _PHRASES:
+        parts.append(f"SELECT {q}::BIGINT AS query_id, doc_id FROM ({_phrase_sql(UNSTEMMED.terms(text), '')})")
+    return f"{_PLAIN} " + " UNION ALL ".join(parts)
+
+
+@query(_phrases_sql())
+def phrase_batch(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Several phrases in one job."""
+    return phrase.phrase_batch(_index(spark, data_dir), _PHRASES)
+
+
 # ---- ranking
 
 _QUERIES = [(1, "wooden harbour"), (2, "village chime tower"), (3, "escapement balance chime"), (4, "hull anchor landing"), (5, "pollen drone queen"), (6, "parapet pier arch")]
@@ -226,7 +260,7 @@ def _scores(index: Index, queries, ranker=None, variants=()) -> DataFrame:
 
 def _top(index: Index, queries, ranker=None, k: int = 10) -> DataFrame:
     best = rank.top_k(_scores(index, queries, ranker), k)
-    return best.join(index.docstats.select("doc_id", "title", "url"), "doc_id").select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "title", "url")
+    return rank.with_titles(index, best, k * len(queries)).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "title", "url")
 
 
 def _top_select(queries, formula: str, k: int = 10, **kw) -> str:
@@ -238,57 +272,76 @@ _DEFAULT_BM25 = _BM25.format(k1=1.5, b=0.75)
 
 @query(_top_select(_QUERIES[:1], _DEFAULT_BM25))
 def bm25_top10(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _top(_index(spark, data_dir), _QUERIES[:1])
+    return _top(_kept(spark, data_dir), _QUERIES[:1])
 
 
 @query(_top_select(_QUERIES[1:2], _BM25.format(k1=1.2, b=0.0), 25))
 def bm25_params_k1_b(spark: SparkSession, data_dir: str) -> DataFrame:
     """Without length normalisation scores tie often, also at the boundary."""
-    return _top(_index(spark, data_dir), _QUERIES[1:2], rank.BM25(1.2, 0.0), 25)
+    return _top(_kept(spark, data_dir), _QUERIES[1:2], rank.BM25(1.2, 0.0), 25)
 
 
 @query(_top_select(_QUERIES, _BM25.format(k1=1.2, b=0.0), 7))
 def bm25_tie_boundary(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _top(_index(spark, data_dir), _QUERIES, rank.BM25(1.2, 0.0), 7)
+    return _top(_kept(spark, data_dir), _QUERIES, rank.BM25(1.2, 0.0), 7)
 
 
 @query(_top_select(_QUERIES, _DEFAULT_BM25))
 def bm25_batch(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _top(_index(spark, data_dir), _QUERIES)
+    return _top(_kept(spark, data_dir), _QUERIES)
 
 
 @query(_top_select(_QUERIES, _DEFAULT_BM25, prefix=_STEMMED, analyzer=DEFAULT))
 def bm25_stemmed(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _top(_index(spark, data_dir, DEFAULT), _QUERIES)
+    return _top(_kept(spark, data_dir, DEFAULT), _QUERIES)
 
 
 @query(_top_select(_QUERIES, _TFIDF))
 def tfidf_top10(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _top(_index(spark, data_dir), _QUERIES, rank.TfIdf())
+    return _top(_kept(spark, data_dir), _QUERIES, rank.TfIdf())
+
+
+@query(_top_select(_QUERIES, _DEFAULT_BM25, 600))
+def bm25_top600(spark: SparkSession, data_dir: str) -> DataFrame:
+    """More results a query than Spark's own limit of a window is made for."""
+    return _top(_kept(spark, data_dir), _QUERIES, k=600)
+
+
+_TITLES = f"""{_PLAIN}, tw AS (SELECT doc_id AS query_id, {words_sql('title')} AS ws FROM documents WHERE doc_id % 20 = 0 AND title IS NOT NULL),
+    tu AS (SELECT query_id, unnest(ws) AS term FROM tw), q AS (SELECT DISTINCT query_id, term FROM tu WHERE term NOT IN {_STOP}),
+    scored AS (SELECT query_id, doc_id, round(sum({_DEFAULT_BM25}), 9) AS score FROM q JOIN post USING (term) JOIN dict USING (term) JOIN stats USING (doc_id), corpus GROUP BY ALL)"""
+
+
+@query(f"{_TITLES}, {_top_sql()} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM top")
+def bm25_by_titles(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The best ten for the title of every document whose id is divisible by 20, against all documents."""
+    titles = table(spark, data_dir, "documents").where(F.col("doc_id") % 20 == 0).select(F.col("doc_id").alias("query_id"), F.col("title").alias("text"))
+    scored = rank.table_scores(_kept(spark, data_dir), titles).withColumn("score", F.round("score", 9))
+    return rank.top_k(scored, 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"{_scored_sql(_QUERIES, _DEFAULT_BM25)} SELECT query_id::BIGINT AS query_id, doc_id, round(score, 6) AS score FROM scored")
 def bm25_all_scores(spark: SparkSession, data_dir: str) -> DataFrame:
-    return _scores(_index(spark, data_dir), _QUERIES).withColumn("score", F.round("score", 6))
+    return _scores(_kept(spark, data_dir), _QUERIES).withColumn("score", F.round("score", 6))
 
 
 @query(f"{_PLAIN} SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 6) AS bm25_idf, round(ln(n_docs / df), 6) AS tfidf_idf FROM dict, corpus")
 def idf_table(spark: SparkSession, data_dir: str) -> DataFrame:
-    index = _index(spark, data_dir)
+    index = _kept(spark, data_dir)
     idf = lambda r: F.round(r.idf(F.col("df"), F.lit(index.n_docs)), 6)
     return index.dictionary.select("term", "df", idf(rank.BM25()).alias("bm25_idf"), idf(rank.TfIdf()).alias("tfidf_idf"))
 
 
 @query(f"{_PLAIN} SELECT term, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1) * 2.5, 6) AS bm25_max, round(ln(n_docs / df) * 10, 6) AS tfidf_max FROM dict, corpus")
 def max_term_score(spark: SparkSession, data_dir: str) -> DataFrame:
-    index = _index(spark, data_dir)
+    index = _kept(spark, data_dir)
     best = lambda r: F.round(r.max_score(r.idf(F.col("df"), F.lit(index.n_docs))), 6)
     return index.dictionary.select("term", best(rank.BM25()).alias("bm25_max"), best(rank.TfIdf()).alias("tfidf_max"))
 
 
 @query(f"{_PLAIN} SELECT doc_id, title, url FROM stats WHERE {_has('harbour')}")
 def doc_meta_join(spark: SparkSession, data_dir: str) -> DataFrame:
-    index = _index(spark, data_dir)
+    index = _kept(spark, data_dir)
     return boolean.boolean_search(index, "harbour").join(index.docstats, "doc_id").select("doc_id", "title", "url")
 
 
@@ -326,6 +379,34 @@ def vbyte_roundtrip(spark: SparkSession, data_dir: str) -> DataFrame:
     return _index(spark, data_dir).postings.select("term", "doc_id", _joined(codec.gap_decode(codec.vbyte_decode(code))).alias("positions"))
 
 
+def _hex_sql(number: str) -> str:
+    return _SPLIT7.replace("WHEN n <", f"WHEN {number} <").replace(", n ", f", {number} ").replace(", n)", f", {number})")
+
+
+@query(
+    f"""{_PLAIN}, g AS (SELECT *, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM post),
+    c AS (SELECT term, doc_id, gap, doc_id // {codec.RANGE} AS range, {_hex_sql('gap')} || {_hex_sql('tf')} || {_hex_sql('len(positions)')} || array_to_string(list_transform({_POSITION_GAPS}, lambda n: {_SPLIT7}), '') AS code FROM g)
+    SELECT term, range, min(doc_id) - arg_min(gap, doc_id) AS base, count(*) AS n, string_agg(code, '' ORDER BY doc_id) AS code FROM c GROUP BY term, range"""
+)
+def postings_encoded(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The posting lists in bytes."""
+    return codec.encoded_postings(_kept(spark, data_dir).postings).withColumn("code", F.lower(F.hex("code")))
+
+
+@query(f"{_PLAIN} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions FROM post")
+def postings_decoded(spark: SparkSession, data_dir: str) -> DataFrame:
+    """And back."""
+    return codec.decoded_postings(codec.encoded_postings(_kept(spark, data_dir).postings)).withColumn("positions", _joined(F.col("positions")))
+
+
+@query(f"{_PLAIN} SELECT term, doc_id, CASE WHEN tf > 1 THEN positions[2] - positions[1] END AS second, length(array_to_string(list_transform({_POSITION_GAPS}[:least(tf, 2)], lambda n: {_SPLIT7}), ''))::INTEGER // 2 AS next FROM post")
+def vbyte_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The first two numbers of each code, and where the third would begin."""
+    rows = _index(spark, data_dir).postings.withColumn("code", codec.vbyte_encode(codec.gap_encode(F.col("positions"))))
+    read = codec.vbyte_decode_stream("code", F.lit(0), F.least("tf", F.lit(2)))
+    return rows.select("term", "doc_id", read.alias("r")).select("term", "doc_id", F.get("r.numbers", 1).alias("second"), "r.next")
+
+
 _BYTES = "CASE WHEN {0} < 128 THEN 1 WHEN {0} < 16384 THEN 2 WHEN {0} < 2097152 THEN 3 WHEN {0} < 268435456 THEN 4 ELSE 5 END"
 
 
@@ -359,7 +440,7 @@ _MEASURES = """j AS (SELECT top.*, (g.doc_id IS NOT NULL)::INTEGER AS hit FROM t
 def _wiki_index(spark: SparkSession, data_dir: str) -> Index:
     pages = table(spark, data_dir, "wiki").select(F.expr("try_cast(id AS bigint)").alias("doc_id"), "title", "url", "text", "fetched_at").where(F.col("doc_id").isNotNull())
     last = pages.groupBy("doc_id").agg(F.max_by(F.struct("title", "url", "text"), "fetched_at").alias("x"))
-    return build_index(last.select("doc_id", "x.title", "x.url", F.col("x.text").alias("body")), UNSTEMMED)
+    return build_index(last.select("doc_id", "x.title", "x.url", F.col("x.text").alias("body")), UNSTEMMED, keep=True)
 
 
 def _topics(spark: SparkSession, data_dir: str) -> list[tuple[int, str]]:
@@ -420,9 +501,42 @@ def latency_percentile(spark: SparkSession, data_dir: str) -> DataFrame:
     return metrics.nearest_percentiles(table(spark, data_dir, "events"), "value", (50, 95, 99))
 
 
+# ---- a saved index, opened again
+
+
+def _saved(spark: SparkSession, data_dir: str, analyzer: Analyzer = UNSTEMMED) -> Index:
+    path = shared_path(spark)
+    build_saved(corpus.documents(spark, data_dir), path, analyzer)
+    return open_index(spark, path)
+
+
+@query(f"{_PLAIN} SELECT 'post' AS kind, doc_id, tf AS n FROM post WHERE term = 'harbour' UNION ALL SELECT 'df', 0, df::INTEGER FROM dict WHERE term = 'harbour' UNION ALL SELECT 'docs', 0, n_docs::INTEGER FROM corpus")
+def saved_index_lookup(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Built, saved and opened: a term's postings and df, and the number of documents."""
+    index = _saved(spark, data_dir)
+    rows = index.get("harbour").select(F.lit("post").alias("kind"), "doc_id", F.col("tf").alias("n"))
+    df = index.dictionary.where(F.col("term") == "harbour").select(F.lit("df"), F.lit(0).cast("long"), F.col("df").cast("int"))
+    return rows.unionAll(df).unionAll(index.docstats.agg(F.count(F.lit(1)).cast("int").alias("n")).select(F.lit("docs"), F.lit(0).cast("long"), "n"))
+
+
+@query(_top_select(_QUERIES, _DEFAULT_BM25, prefix=_STEMMED, analyzer=DEFAULT))
+def saved_index_bm25(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Searched with the analyzer that the saved index names."""
+    return _top(_saved(spark, data_dir, DEFAULT), _QUERIES)
+
+
 # ---- sources
 
 
+@query(f"WITH {_DOCS} SELECT row_number() OVER (ORDER BY doc_id) - 1 AS doc_id, title, url, body FROM docs")
+def jsonl_loader(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The documents written as JSON lines in order of their ids and loaded again: ids are dense, blank texts are skipped."""
+    path = shared_path(spark)
+    rows = corpus.documents(spark, data_dir).select("doc_id", "title", "url", F.col("body").alias("text"))
+    rows.orderBy("doc_id").drop("doc_id").write.option("ignoreNullFields", "true").json(path)
+    return corpus.load_jsonl(spark, path)
+
+
 @query()
 def synthetic_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
     return corpus.synthetic_corpus(spark)
@@ -432,6 +546,6 @@ def synthetic_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
 def synthetic_quality(spark: SparkSession, data_dir: str) -> DataFrame:
     """The topic queries over a synthetic corpus: nDCG@10 needs length normalisation to keep the spam out."""
     docs = corpus.synthetic_corpus(spark)
-    index = build_index(docs, UNSTEMMED)
+    index = build_index(docs, UNSTEMMED, keep=True)
     best = rank.top_k(rank.scores(index, corpus.topic_queries(), variants=[(1.5, 0.0), (1.5, 0.75)]), 10, ("query_id", "k1", "b"))
     return metrics.judged(best, corpus.topic_qrels(docs), 10, ("query_id", "k1", "b")).groupBy("k1", "b").agg(F.avg("ndcg_at_k").alias("ndcg_at_k"))

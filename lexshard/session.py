@@ -52,15 +52,21 @@ def shared_dir(spark: SparkSession) -> str:
 _SETTLED: set[str] = set()
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, for something that clear_settled may remove."""
+    path = os.path.join(shared_dir(spark), f"settled-{uuid.uuid4().hex}")
+    _SETTLED.add(path)
+    return path
+
+
 def settled(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The rows, written once to the shared folder and read back: lineage ends, a lost executor loses nothing.
 
     The folder is removed by unsettled, or clear_settled when all that reads it is done.
     """
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"settled-{uuid.uuid4().hex}")
+    path = shared_path(spark)
     (df.select(*columns) if columns else df).write.option("compression", "zstd").parquet(path)
-    _SETTLED.add(path)
     return spark.read.schema(df.select(*columns).schema if columns else df.schema).parquet(path)
 
 

@@ -22,6 +22,7 @@ def spark(tmp_path_factory):
 
 @pytest.fixture
 def corpus(spark):
+    # The texts that the expected results belong to.
     bodies = ["python search engine", "java index structure", "python java hybrid", "search index ranking", "python search index fast", "python java search index"]
     return spark.createDataFrame([(i, f"t{i}", f"u{i}", b) for i, b in enumerate(bodies)], "doc_id long, title string, url string, body string")
 

@@ -54,3 +54,22 @@ def test_document_gaps_over_ranges(spark):
         ids = sorted(d for x, d in rows if x == t)
         assert got[t] == [b - a for a, b in zip([0, *ids], ids)]
     assert codec.docs_from_gaps(gaps).where(F.col("decoded") != F.col("doc_id")).count() == 0
+
+
+def test_posting_lists_to_bytes_and_back(spark):
+    rows = [("a", 3, 2, [0, 200]), ("a", 70_000, 1, [5]), ("a", 70_001, 3, [1, 2, 40_000]), ("b", 65_535, 1, [0]), ("b", 65_536, 1, [9])]
+    postings = spark.createDataFrame(rows, "term string, doc_id long, tf int, positions array<int>")
+    lists = codec.encoded_postings(postings)
+    got = {(r.term, r.range): (r.base, r.n, bytes(r.code)) for r in lists.collect()}
+    assert got["a", 0] == (0, 1, bytes([0x83, 0x82, 0x82, 0x80, 0x01, 0xC8])) and {k: v[:2] for k, v in got.items()} == {("a", 0): (0, 1), ("a", 1): (3, 2), ("b", 0): (0, 1), ("b", 1): (65_535, 1)}
+    assert sorted(tuple(r) for r in codec.decoded_postings(lists).collect()) == sorted(rows)
+    whole = codec.encoded_postings_bytes(postings).first()[0]
+    assert whole == sum(len(c) for _, _, c in got.values()) + 2  # and one byte for each term's df
+    assert codec.decoded_postings(codec.encoded_postings(postings.limit(0))).count() == 0
+
+
+def test_stream_decoding_of_columns(spark):
+    code = bytes([0x85, 0x01, 0x80, 0x87])
+    df = spark.createDataFrame([(code, 0, 2), (code, 1, 2), (code, 0, 0), (None, 0, 1)], "data binary, pos int, count int")
+    got = [r.x and (r.x.numbers, r.x.next) for r in df.select(codec.vbyte_decode_stream("data", "pos", "count").alias("x")).collect()]
+    assert got == [([5, 128], 3), ([128, 7], 4), ([], 0), None]

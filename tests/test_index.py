@@ -1,9 +1,13 @@
+import os
+
+from lexshard import session
 from lexshard.functions.analyzer import DEFAULT, RAW
-from lexshard.operators.index import build_index, build_meta, corpus_stats, open_index
+from lexshard.operators.index import build_index, build_meta, build_saved, corpus_stats, open_index, stored_bytes
 
 SCHEMA = "doc_id long, title string, url string, body string"
 
 
+# Three documents and their postings.
 def golden(spark):
     return spark.createDataFrame([(0, "t0", "u0", "alpha beta alpha"), (1, "t1", "u1", "beta gamma"), (2, "t2", "u2", "alpha gamma gamma")], SCHEMA)
 
@@ -54,3 +58,15 @@ def test_long_document(spark):
     index = build_index(spark.createDataFrame([(7, "t", "u", "abc xyz " * 60_000)], SCHEMA), RAW)
     got = postings(index)
     assert got[("abc", 7)] == (60_000, list(range(0, 120_000, 2))) and got[("xyz", 7)][0] == 60_000
+
+
+def test_what_is_settled_can_be_removed(spark, tmp_path):
+    kept = build_index(golden(spark), RAW, keep=True)
+    assert postings(kept) == EXPECTED and kept.n_docs == 3 and session._SETTLED
+    before = set(session._SETTLED)
+    index = build_saved(golden(spark), str(tmp_path / "x"), RAW)
+    assert set(session._SETTLED) == before and postings(index) == EXPECTED
+    assert stored_bytes(spark, str(tmp_path / "x")) == sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(tmp_path / "x") for f in fs if not f.endswith(".crc"))
+    paths = [p.removeprefix("file://") for p in session._SETTLED]
+    session.clear_settled(spark)
+    assert not session._SETTLED and not any(os.path.exists(p) for p in paths)

@@ -6,11 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexshard.functions.analyzer import DEFAULT, RAW, UNSTEMMED
-from lexshard.operators import boolean
+from lexshard.operators import boolean, rank
 from lexshard.operators.boolean import QuerySyntaxError, boolean_search, by_operators, parse
 from lexshard.operators.index import build_index
-from lexshard.operators.phrase import phrase_by_anchors, phrase_search
-from lexshard.operators.rank import BM25, TfIdf, batch_search, query_terms, ranked_search, term_weights, top_k
+from lexshard.operators.phrase import phrase_batch, phrase_by_anchors, phrase_search
+from lexshard.operators.rank import BM25, TfIdf, batch_search, query_terms, ranked_search, scores, table_scores, term_weights, top_k
 
 
 def ids(df):
@@ -134,3 +134,59 @@ def test_default_analyzer_serves_both_sides(spark):
     index = build_index(spark.createDataFrame([(0, "", "", "Bridges were painted"), (1, "", "", "a bridge")], "doc_id long, title string, url string, body string"), DEFAULT)
     assert ids(boolean_search(index, "bridge AND painting")) == [0] and ids(phrase_search(index, "BRIDGED")) == [0, 1]
     assert index.postings.where(F.col("term") == "bridg").count() == 2
+
+
+def test_batches_find_what_single_queries_find(index):
+    texts = ["python AND java", "search OR java", "python NOT java", "python AND (search OR index) NOT java", "NOT java", "NOT !!", "unknown", "NOT (python OR unknown)", "java AND python", "!!"]
+    got = {}
+    for r in boolean.boolean_batch(index, list(enumerate(texts))).collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert {q: sorted(d) for q, d in got.items()} == {q: d for q, t in enumerate(texts) if (d := ids(boolean_search(index, t)))}
+    phrases = ["python search", "search index", "engine python", "python", "", "java search index", "python unknown", "python search index fast"]
+    got = {}
+    for r in phrase_batch(index, list(enumerate(phrases))).collect():
+        got.setdefault(r.query_id, []).append(r.doc_id)
+    assert {q: sorted(d) for q, d in got.items()} == {q: d for q, t in enumerate(phrases) if (d := ids(phrase_search(index, t)))}
+    with pytest.raises(QuerySyntaxError):
+        boolean.boolean_batch(index, [(0, "python AND")])
+    assert boolean.boolean_batch(index, []).count() == 0 and phrase_batch(index, []).count() == 0
+
+
+def test_phrase_batch_with_repeated_terms(spark):
+    docs = spark.createDataFrame([(0, "", "", "a b a"), (1, "", "", "a a b a a"), (2, "", "", "b b")], "doc_id long, title string, url string, body string")
+    raw = build_index(docs, RAW)
+    got = sorted((r.query_id, r.doc_id) for r in phrase_batch(raw, [(1, "a b a"), (2, "a a"), (3, "b b"), (4, "a a b a a")]).collect())
+    assert got == [(1, 0), (1, 1), (2, 1), (3, 2), (4, 1)]
+    for q, text in ((1, "a b a"), (2, "a a"), (3, "b b"), (4, "a a b a a")):
+        assert ids(phrase_search(raw, text)) == [d for i, d in got if i == q]
+
+
+def test_queries_of_a_table(index, spark):
+    listed = [(1, "python search"), (2, "java index java"), (3, "unknown"), (5, "index")]
+    rows = spark.createDataFrame([*listed, (4, None), (None, "python")], "query_id long, text string")
+    for ranker in (BM25(), TfIdf()):
+        a = {(r.query_id, r.doc_id): r.score for r in scores(index, listed, ranker).collect()}
+        assert a == {(r.query_id, r.doc_id): r.score for r in table_scores(index, rows, ranker).collect()} and len(a) > 10
+
+
+def test_many_results_are_cut_in_each_task(spark, monkeypatch):
+    """Beyond what Spark pushes down, and with little room to gather: as a heap, with ties and null groups."""
+    monkeypatch.setattr(rank, "GATHERED", 50)
+    pick, rows, cases = random.Random(2), [], {}
+    for q in (None, 1, 2):
+        cases[q] = [(d, float(pick.randint(0, 40))) for d in pick.sample(range(5000), 1800)]
+        rows += [(q, d, s) for d, s in cases[q]]
+    pick.shuffle(rows)
+    df = spark.createDataFrame(rows, "query_id long, doc_id long, score double").repartition(3)
+    monkeypatch.setattr(rank, "PUSHED", 100)
+    for k in (60, 700):
+        got = {}
+        for r in top_k(df, k).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.score, r.doc_id))
+        assert got == {q: by_heap(s, k) for q, s in cases.items()}
+    assert top_k(df.limit(0), 60).count() == 0
+
+
+def test_large_results_are_cut_before_the_shuffle(spark):
+    plan = top_k(spark.range(10).selectExpr("id % 2 as query_id", "id as doc_id", "1.0D as score"), 1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("MapInArrow") > plan.rindex("Exchange hashpartitioning")
