@@ -370,11 +370,17 @@ def p3_groups(spark: SparkSession, data_dir: str) -> DataFrame:
 
 QUERIES = {"p3_found": p3_found, "p3_groups": p3_groups}
 
+_PAIRS = f"""d AS (SELECT try_cast(id AS BIGINT) AS id, {words_sql('text')} AS w, {words_sql('title')} AS t, fetched_at FROM wiki),
+    p AS (SELECT id, arg_max(list_sort(list_distinct(list_concat(w, t))), fetched_at) AS s FROM d WHERE id IS NOT NULL AND len(w) > 0 GROUP BY id),
+    e AS (SELECT id, len(s) AS n, unnest(s) AS w FROM p),
+    c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.w = b.w AND a.id < b.id
+        AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n GROUP BY ALL),
+    pairs AS (SELECT id_a, id_b FROM c WHERE 10 * k >= 7 * (na + nb - k))"""
 SQL = {
-    "p3_found": f"""WITH d AS (SELECT try_cast(id AS BIGINT) AS id, {words_sql('text')} AS w, {words_sql('title')} AS t, fetched_at FROM wiki),
-        p AS (SELECT id, arg_max(list_distinct(list_concat(w, t)), fetched_at) AS s FROM d WHERE id IS NOT NULL AND len(w) > 0 GROUP BY id),
-        e AS (SELECT id, len(s) AS n, unnest(s) AS w FROM p),
-        c AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k, any_value(a.n) AS na, any_value(b.n) AS nb FROM e a JOIN e b ON a.w = b.w AND a.id < b.id
-            AND 10 * a.n >= 7 * b.n AND 10 * b.n >= 7 * a.n GROUP BY ALL)
-        SELECT id_a, id_b FROM c WHERE 10 * k >= 7 * (na + nb - k)""",
+    "p3_found": f"WITH {_PAIRS} SELECT id_a, id_b FROM pairs",
+    "p3_groups": f"""WITH RECURSIVE {_PAIRS}, k AS (SELECT id, min(id) OVER (PARTITION BY s) AS class FROM p),
+        l AS (SELECT DISTINCT a.class AS a, b.class AS b FROM pairs JOIN k a ON a.id = id_a JOIN k b ON b.id = id_b WHERE a.class <> b.class),
+        ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+        reach AS (SELECT DISTINCT class AS node, class AS root FROM k UNION SELECT ways.b, root FROM reach JOIN ways ON ways.a = node)
+        SELECT id, class AS class_id, (SELECT min(root) FROM reach WHERE node = class) AS group_id, (SELECT count(*) FROM ways WHERE a = class) AS links FROM k""",
 }
