@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexshard.llm import mojibake
+from lexshard.llm.mojibake import LOST
 
 CLEAN = {
     "fr": "La rivière près du château était fermée jusqu’à l’été où le café protégé fut rebâti à côté de la forêt étroite par des élèves célèbres",
@@ -129,3 +131,35 @@ def test_only_the_garbled_passages_are_changed():
         assert whole and len(chains) == len(langs)
         assert undo(CLEAN["fr"]) == CLEAN["fr"] and undo(CLEAN["en"]) == CLEAN["en"]
         assert [x for x in langs if x != "pl" and undo(wrong[x]) != CLEAN[x]] == []
+
+
+def test_clean_records_are_found_again_once_garbled():
+    """Every chain over several words of clean records; the clean records themselves gain too little."""
+    model = model_of([*CLEAN.values()] * 40)
+    pick, found, tried = random.Random(8), 0, 0
+    for lang, garble in GARBLED:
+        for _ in range(20):
+            words = pick.sample([w for w in CLEAN[lang].split(" ") if not w.isascii()], 5)
+            assert model.judge("Plain words, then " + " ".join(words))[0] == []
+            tried, found = tried + 1, found + bool(model.judge("Plain words, then " + " ".join(map(garble, words)))[0])
+    assert found >= 0.97 * tried
+
+
+def test_words_are_judged_together_as_alone():
+    model, again = model_of([*CLEAN.values()] * 40), model_of([*CLEAN.values()] * 40)
+    words = sorted({g for lang, garble in GARBLED for w in CLEAN[lang].split(" ") for g in (w, garble(w)) if g and not g.isascii()})
+    for w, u in zip(words, model.learned(words)):
+        alone = again.learned([w])[0]
+        assert (u.word, u.chains) == (alone.word, alone.chains) and abs(u.gain - alone.gain) < 1e-9
+        assert [(p, c) for p, _, c in u.bytewise] == [(p, c) for p, _, c in alone.bytewise] and np.allclose([g for _, g, _ in u.bytewise], [g for _, g, _ in alone.bytewise])
+        for (read_as, written_in), gain, _ in u.bytewise:
+            assert abs(gain - (model.known(mojibake.undo_bytes(w, read_as, written_in)) - model.known(w))) < 1e-9
+        every = {(r, x) for r in mojibake.READ_AS for x in mojibake.WRITTEN_IN if r != x and (v := mojibake.undo_bytes(w, r, x)) is not None and LOST not in w and v != w and model.known(v) > model.known(w) + 1e-9}
+        assert every <= {p for p, _, _ in u.bytewise}
+
+
+def test_texts_are_split_into_odd_words_as_one_by_one():
+    texts = ["a é\nb é ü\xa0x", "", "plain", " é", "日本 x é", "\té\r\n"]
+    row, code, names = mojibake.odd_words(pa.array(texts))
+    got = [{names[c].as_py() for r, c in zip(row.tolist(), code.tolist()) if r == i} for i in range(len(texts))]
+    assert got == [set(mojibake.garbled_words(t)) for t in texts]
