@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -35,13 +37,15 @@ def spread(df: DataFrame) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as spark.checkpoint.dir names it.
 
-    Only where the setting is absent on a single machine (tests) a temporary folder is made and set.
+    Only where the setting is absent on a single machine (tests) a temporary folder is made and set; it goes when Python ends.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='lexshard-')}"
+        made = tempfile.mkdtemp(prefix="lexshard-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        where = f"file://{made}"
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(where)
