@@ -51,20 +51,18 @@ def phrase_search(index: Index, phrase: str, strict_gaps: bool = False) -> DataF
 def phrase_batch(index: Index, phrases: Sequence[tuple[int, str]]) -> DataFrame:
     """(query_id, doc_id) of many phrases in one job, as phrase_search finds them.
 
-    Every posting of a phrase's terms is brought to the places where the phrase would begin, all its terms of a
-    document and phrase come together, and what all places have in common is left.
+    The documents that hold all terms of a phrase are found first, by their ids. Of those every occurrence of a term
+    names the place where the phrase would begin; a place named by all terms is a match.
     """
     spark = index.postings.sparkSession
-    wanted = [(q, t, os, len(offsets)) for q, text in phrases for offsets in [_offsets(index, text)] for t, os in offsets.items()]
-    asked = F.broadcast(spark.createDataFrame(wanted, "query_id long, term string, offsets array<int>, terms int"))
-    rows = index.postings.where(F.col("term").isin(sorted({t for _, t, _, _ in wanted}))).join(asked, "term")
+    wanted = [(q, t, os, len(offsets), sum(map(len, offsets.values()))) for q, text in phrases for offsets in [_offsets(index, text)] for t, os in offsets.items()]
+    asked = F.broadcast(spark.createDataFrame(wanted, "query_id long, term string, offsets array<int>, terms int, places int"))
+    rows = index.postings.where(F.col("term").isin(sorted({t for _, t, *_ in wanted}))).join(asked, "term")
     complete = rows.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("terms").alias("terms")).where(F.col("n") == F.col("terms"))
-    first = _moved(F.col("positions"), F.col("offsets")[0])
-    begins = F.aggregate(F.slice("offsets", 2, 1 << 30), first, lambda a, o: F.array_intersect(a, _moved(F.col("positions"), o)))
-    places = rows.join(complete.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").select("query_id", "doc_id", "terms", begins.alias("begins"))
-    lists = places.groupBy("query_id", "doc_id").agg(F.collect_list("begins").alias("lists"))
-    common = F.aggregate(F.slice("lists", 2, 1 << 30), F.col("lists")[0], lambda a, b: F.array_intersect(a, b))
-    return lists.where(F.size(common) > 0).select("query_id", "doc_id")
+    held = rows.join(complete.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
+    at = held.select("query_id", "doc_id", "places", "offsets", F.explode("positions").alias("pos")).select("query_id", "doc_id", "places", "pos", F.explode("offsets").alias("o"))
+    named = at.groupBy("query_id", "doc_id", (F.col("pos") - F.col("o")).alias("begin")).agg(F.count(F.lit(1)).alias("n"), F.first("places").alias("places"))
+    return named.where(F.col("n") == F.col("places")).select("query_id", "doc_id").distinct()
 
 
 def phrase_by_anchors(index: Index, phrase: str) -> DataFrame:
