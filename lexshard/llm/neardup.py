@@ -38,6 +38,10 @@ from lexshard.session import settled, single, spread, table
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 18, 1 << 22
 #: Pages of a shard that are searched against each other in one task.
 BLOCK = 2000
+#: So many deliveries that stand for no class are broadcast, to be left out.
+FEW = 1_000_000
+#: Bits that tell which texts are to be compared: 8 KiB to 32 MiB.
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 #: Nodes that the searches which run in step may visit at most, together.
 VISITS = 1 << 21
 #: A row's block, then side (its lowest bit), whether the block is searched within itself, left and n (31 bits each).
@@ -51,7 +55,7 @@ _STEPS = np.array(STEPS)
 
 def deliveries(wiki: DataFrame) -> DataFrame:
     """(id, seen, title, text): every delivery of a page with a text; ids that aren't numbers are dropped."""
-    rows = wiki.select(F.expr("try_cast(id AS bigint)").alias("id"), F.col("fetched_at").alias("seen"), F.coalesce("title", F.lit("")).alias("title"), "text")
+    rows = wiki.select(F.expr("try_cast(id AS bigint)").alias("id"), F.col("fetched_at").cast("timestamp").alias("seen"), F.coalesce("title", F.lit("")).alias("title"), "text")
     return spread(rows.where(F.col("id").isNotNull() & F.col("text").isNotNull()))
 
 
@@ -87,36 +91,45 @@ def _buckets(pages: DataFrame) -> int:
 def classes(wiki: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """(members (id, class), texts (class, title, text), counts): pages with equal word sets; class is their smallest id.
 
-    Only pages with a word in their text. A page delivered several times counts as it came last. Members and texts are
-    written to the shared folder. counts tells for each bucket of words how many deliveries hold them.
+    Only pages with a word in their text. A page delivered several times counts as it came last. counts tells for each
+    bucket of words how many deliveries hold them. The deliveries are written to the shared folder, numbered; texts are
+    those that stand for a class. Where only few don't, these are left out as the deliveries are read; else the texts are
+    picked by a join and written again.
     """
     import xxhash
+    from pyspark import TaskContext
 
-    pages = deliveries(wiki).withColumn("place", F.xxhash64("title", "text"))
+    pages = deliveries(wiki)
     buckets = _buckets(pages)
+    names = ["row", "id", "seen", "key", "title", "text", "bucket", "n"]
 
     def keyed(batches):
-        """Of each delivery with a word in its text the 128-bit hash of its word set; in the end the counts."""
-        total = np.zeros(buckets, np.int64)
-        names = ["id", "seen", "place", "key", "bucket", "n"]
+        """Each delivery with a word in its text, with a number and the 128-bit hash of its word set; in the end the counts."""
+        total, done = np.zeros(buckets, np.int64), TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = Sets(part.column("title"), part.column("text"))
                 total += np.bincount(_slot(sets.words, buckets), minlength=buckets)
                 at = np.flatnonzero(sets.has_text)
                 keys = [xxhash.xxh3_128_digest(sets.words[sets.ends[i] : sets.ends[i + 1]].tobytes()) for i in at.tolist()]
-                kept = part.select(names[:3]).take(pa.array(at))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(keys, pa.binary()), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names)
+                ident, seen, title, text = part.select(["id", "seen", "title", "text"]).take(pa.array(at)).columns
+                yield pa.RecordBatch.from_arrays([pa.array(done + np.arange(len(at))), ident, seen, pa.array(keys, pa.binary()), title, text, pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.int64())], names)
+                done += len(at)
         at = np.flatnonzero(total)
-        none = [pa.nulls(len(at), k) for k in (pa.int64(), pa.timestamp("us", "UTC"), pa.int64(), pa.binary())]
+        none = [pa.nulls(len(at), k) for k in (pa.int64(), pa.int64(), pa.timestamp("us", "UTC"), pa.binary(), pa.string(), pa.string())]
         yield pa.RecordBatch.from_arrays([*none, pa.array(at.astype(np.int32)), pa.array(total[at])], names)
 
-    rows = settled(pages.mapInArrow(keyed, "id long, seen timestamp, place long, key binary, bucket int, n long"))
-    last = settled(rows.where(F.col("bucket").isNull()).groupBy("id").agg(F.max(F.struct("seen", "place", "key")).alias("x")).select("id", "x.place", "x.key"))
-    reps = last.groupBy("key").agg(F.min(F.struct("id", "place")).alias("x")).select("key", "x.id", "x.place")
-    members = settled(last.select("id", "key").join(reps.select("key", F.col("id").alias("class")), "key").select("id", "class"))
-    texts = pages.select("id", "place", "title", "text").join(reps.select("id", "place"), ["id", "place"], "left_semi").dropDuplicates(["id", "place"])
-    return members, settled(texts.select(F.col("id").alias("class"), "title", "text")), _summed(rows.where(F.col("bucket").isNotNull()), buckets)
+    rows = settled(pages.mapInArrow(keyed, "row long, id long, seen timestamp, key binary, title string, text string, bucket int, n long"))
+    counts, rows = _summed(rows.where(F.col("bucket").isNotNull()).select("bucket", "n"), buckets), rows.where(F.col("bucket").isNull())
+    last = settled(rows.groupBy("id").agg(F.max(F.struct("seen", "key", "row")).alias("x")).select("id", "x.key", "x.row"))
+    reps = last.groupBy("key").agg(F.min(F.struct("id", "row")).alias("x")).select("key", F.col("x.id").alias("class"), "x.row")
+    members = settled(last.select("id", "key").join(reps.select("key", "class"), "key").select("id", "class"))
+    spare = settled(rows.select("row").join(reps.select("row"), "row", "left_anti"))
+    if spare.count() <= FEW:
+        texts = rows.join(F.broadcast(spare), "row", "left_anti")
+        return members, texts.select(F.col("id").alias("class"), "title", "text"), counts
+    texts = rows.select("row", F.col("id").alias("class"), "title", "text").join(reps.select("row"), "row", "left_semi")
+    return members, settled(texts.drop("row")), counts
 
 
 def _summed(counts: DataFrame, buckets: int) -> np.ndarray:
@@ -303,6 +316,40 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).take(pa.array(np.flatnonzero(ok)))
 
 
+def _spots(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    spots = np.concatenate([mixed(ids.view(np.uint64) + np.uint64(k)) & np.uint64(bits - 1) for k in (1, 2)])
+    return (spots >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spots & np.uint64(63))
+
+
+def _that_occur(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts without most of those that no pair names, so that they aren't shuffled to be compared.
+
+    A table of bits, of bounded size, is broadcast; the joins that follow are exact.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * pairs.count()).bit_length()))
+
+    def named(batches):
+        for batch in batches:
+            entry, bit = _spots(np.concatenate([batch.column(c).to_numpy() for c in "ab"]), bits)
+            order = np.argsort(entry, kind="stable")
+            different, starts = np.unique(entry[order], return_index=True)
+            held = np.bitwise_or.reduceat(bit[order], starts) if len(starts) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(different), pa.array(held.view(np.int64))], ["entry", "bits"])
+
+    rows = pairs.mapInArrow(named, "entry long, bits long").groupBy("entry").agg(F.bit_or("bits").alias("bits")).toArrow()
+    table_ = np.zeros(bits // 64, np.uint64)
+    table_[rows.column("entry").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast(table_)
+
+    def kept(batches):
+        for batch in batches:
+            ids = batch.column("class").to_numpy()
+            entry, bit = _spots(ids, bits)
+            yield batch.filter(pa.array(((shared.value[entry] & bit) != 0).reshape(2, len(ids)).all(0)))
+
+    return texts.mapInArrow(kept, texts.schema)
+
+
 def class_pairs(texts: DataFrame, counts: np.ndarray) -> DataFrame:
     """(a, b), a < b: all pairs of classes at least 7/10 alike; texts is (class, title, text), settled."""
     spark, buckets = texts.sparkSession, len(counts)
@@ -339,6 +386,8 @@ def class_pairs(texts: DataFrame, counts: np.ndarray) -> DataFrame:
 
     blocks = texts.mapInArrow(shards, _SHARDS).repartition("block").sortWithinPartitions("block")
     candidates = blocks.mapInArrow(_search, "a long, b long").distinct()
+    candidates = settled(candidates)
+    texts = _that_occur(texts, candidates)
     left, right = (texts.select(F.col("class").alias(x), F.col("title").alias(f"title_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
     return candidates.join(left, "a").join(right, "b").mapInArrow(_verified, "a long, b long")
 

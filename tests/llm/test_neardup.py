@@ -41,6 +41,9 @@ def test_all_pairs_against_brute_force(spark, tables, monkeypatch):
     assert all((groups[a][0] == groups[b][0]) == (sets[a] == sets[b]) for a in sets for b in sets)
     assert all(groups[a][1] == groups[b][1] for a, b in expected)
     monkeypatch.setattr(neardup, "BLOCK", 3)  # every shard is split into blocks
+    monkeypatch.setattr(neardup, "FEW", 0)  # classes are picked by a join
+    monkeypatch.setattr(neardup, "MOST_BITS", 64)  # and hardly a text is left out before they are compared
+    monkeypatch.setattr(neardup, "LEAST_BITS", 64)
     assert {tuple(r) for r in neardup.p3_found(spark, data).collect()} == expected
 
 
