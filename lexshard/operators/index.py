@@ -15,6 +15,8 @@ from lexshard.functions.porter import stems
 from lexshard.functions.words import coded, pieces, split_words
 from lexshard.session import settled, spread, unsettled
 
+#: Terms whose document frequencies a handle remembers.
+REMEMBERED = 200_000
 _POSTINGS = "array<struct<term string, tf int, positions array<int>>>"
 
 
@@ -84,6 +86,7 @@ class Index:
     docstats: DataFrame
     analyzer: Analyzer = DEFAULT
     meta: dict = field(default_factory=dict)
+    looked_up: dict[str, int] = field(default_factory=dict, repr=False)
 
     @cached_property
     def _stats(self) -> tuple[int, int]:
@@ -105,8 +108,18 @@ class Index:
         return self.postings.where(F.col("term") == term)
 
     def df(self, term: str) -> int:
-        row = self.dictionary.where(F.col("term") == term).select("df").first()
-        return row.df if row else 0
+        return self.dfs([term])[term]
+
+    def dfs(self, terms: list[str]) -> dict[str, int]:
+        """The document frequencies of given terms, 0 if unknown. They are remembered, as many as REMEMBERED."""
+        new = [t for t in terms if t not in self.looked_up]
+        if new:
+            if len(self.looked_up) + len(new) > REMEMBERED:
+                self.looked_up.clear()
+                new = terms
+            self.looked_up.update(dict.fromkeys(new, 0))
+            self.looked_up.update((r.term, r.df) for r in self.dictionary.where(F.col("term").isin(new)).select("term", "df").collect())
+        return {t: self.looked_up[t] for t in terms}
 
     def vocab_size(self) -> int:
         return self.dictionary.count()

@@ -28,6 +28,8 @@ PUSHED = 1000
 GATHERED = 100_000
 #: Result rows that are broadcast to fetch titles.
 FEW = 100_000
+#: Results of one query that the driver puts in order.
+MANY = 10_000
 
 
 class Ranker(Protocol):
@@ -88,7 +90,7 @@ def _wanted(index: Index, queries: Sequence[tuple[int, str]]) -> list[tuple[int,
     terms = sorted({t for _, _, t in wanted})
     if len(terms) > TERM_LIMIT:
         raise ValueError(f"{len(terms)} different terms; at most {TERM_LIMIT} are searched in one job")
-    dfs = {r.term: r.df for r in index.dictionary.where(F.col("term").isin(terms)).select("term", "df").collect()} if terms else {}
+    dfs = index.dfs(terms)
     return [(q, i, t, dfs[t]) for q, i, t in wanted if dfs.get(t)]
 
 
@@ -204,13 +206,32 @@ def with_titles(index: Index, best: DataFrame, rows: int) -> DataFrame:
 
 def batch_search(index: Index, queries: Sequence[tuple[int, str]], ranker: Ranker | None = None, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score, title, url) for many queries in one job."""
-    found = scores(index, queries, ranker)
-    if len(queries) == 1 and k > 0:  # the first 2k of all, as of one group: no shuffle but of what each task has kept
-        found = found.orderBy(F.desc("score"), "doc_id").limit(2 * k)
-    best = top_k(found, k)
+    best = top_k(scores(index, queries, ranker), k)
     return with_titles(index, best, k * len(queries)).select("query_id", "rank", "doc_id", "score", "title", "url")
 
 
+def _best(rows: Sequence[tuple[int, float]], k: int) -> list[tuple[int, int, float]]:
+    """(rank, doc_id, score): the rule of top_k for one group, given its first 2k (doc_id, score) by score and id."""
+    least = rows[min(k, len(rows)) - 1][1] if rows else 0.0
+    held = [(d, s) for i, (d, s) in enumerate(sorted(r for r in rows if r[1] >= least)) if s > least or i < k]
+    chosen = sorted(held, key=lambda r: (-r[1], -r[0]))[:k]
+    return [(i, d, s) for i, (d, s) in enumerate(sorted(chosen, key=lambda r: (-r[1], r[0])), 1)]
+
+
 def ranked_search(index: Index, query: str, ranker: Ranker | None = None, k: int = 10) -> DataFrame:
-    """(rank, doc_id, score, title, url) for one query, best first; no rows if no term is known."""
-    return batch_search(index, [(0, query)], ranker, k).drop("query_id").orderBy("rank").limit(k)
+    """(rank, doc_id, score, title, url) for one query, best first; no rows if no term is known.
+
+    Up to MANY results the search runs at once: each task keeps its best 2k, and the best 2k of all come to the driver,
+    which chooses among them and looks up their titles by id.
+    """
+    if k <= 0:
+        raise ValueError("k must be positive")
+    if k > MANY:
+        return batch_search(index, [(0, query)], ranker, k).drop("query_id").orderBy("rank")
+    first = scores(index, [(0, query)], ranker).orderBy(F.desc("score"), "doc_id").limit(2 * k).select("doc_id", "score").collect()
+    best = _best([tuple(r) for r in first], k)
+    ids = [d for _, d, _ in best]
+    about = {r.doc_id: (r.title, r.url) for r in index.docstats.where(F.col("doc_id").isin(ids)).select("doc_id", "title", "url").collect()} if ids else {}
+    columns = list(zip(*((i, d, s, *about[d]) for i, d, s in best if d in about))) or [()] * 5
+    kinds = (("rank", pa.int32()), ("doc_id", pa.int64()), ("score", pa.float64()), ("title", pa.string()), ("url", pa.string()))
+    return index.postings.sparkSession.createDataFrame(pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds)], names=[n for n, _ in kinds]))

@@ -123,6 +123,7 @@ def test_ties_at_the_boundary(spark):
         rows += [(q, d, s) for d, s in scores]
     df = spark.createDataFrame(rows, "query_id long, doc_id long, score double").persist()
     for k in (1, 2, 5):
+        assert all([(s, d) for _, d, s in rank._best(sorted(c, key=lambda x: (-x[1], x[0]))[: 2 * k], k)] == by_heap(c, k) for c in cases.values())
         got = {}
         for r in top_k(df, k).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append((r.score, r.doc_id))
